@@ -94,23 +94,28 @@ def p3_daily_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("period").cast("string").alias("period"), "n", "n_late", "n_refused", "n_batches")
 
 
-_DELIVERED = (("rss_items", "item_id", "string"), ("cryptopanic_posts", "post_id", "bigint"))
+_DELIVERED = (("rss_items", "item_id"), ("cryptopanic_posts", "post_id"))
 
 
-def _kept_and_dropped(spark: SparkSession, sf_dir: str, name: str, key: str, key_type: str) -> tuple[DataFrame, DataFrame]:
+def _kept_and_dropped(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).select(key, "delivery_id", "ingested_at").schema
-    kept = dedup.kept_rows(spark, dedup.keep_first(spark, path, schema, key, "delivery_id", "ingested_at"), key_type)
+    kept = dedup.kept_rows(spark, dedup.keep_first(spark, path, schema, key, "delivery_id", "ingested_at"))
     rows = table(spark, sf_dir, name, key, "delivery_id").select(F.col(key).alias("key"), F.col("delivery_id").alias("row_id"))
-    return dedup.settle(rows, kept)
+    return rows, *dedup.settle(rows, kept)
+
+
+def _named(rows: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """(tbl, id) of the rows picked by `some`."""
+    return rows.join(some.select("row_id"), "row_id", "left_semi").select(F.lit(name).alias("tbl"), F.col("key").cast("string").alias("id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of which the stream dropped at least one copy."""
     parts = []
-    for name, key, key_type in _DELIVERED:
-        _, dropped = _kept_and_dropped(spark, sf_dir, name, key, key_type)
-        parts.append(dropped.select(F.lit(name).alias("tbl"), F.col("key").cast("string").alias("id")).distinct())
+    for name, key in _DELIVERED:
+        rows, _, dropped = _kept_and_dropped(spark, sf_dir, name, key)
+        parts.append(_named(rows, dropped, name).distinct())
     return parts[0].unionByName(parts[1])
 
 
@@ -123,9 +128,9 @@ union all select 'cryptopanic_posts', cast(post_id as varchar) from cryptopanic_
 def p4_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of each identifier, with how often it was kept (always once)."""
     parts = []
-    for name, key, key_type in _DELIVERED:
-        kept, _ = _kept_and_dropped(spark, sf_dir, name, key, key_type)
-        parts.append(kept.groupBy(F.lit(name).alias("tbl"), F.col("key").cast("string").alias("id")).agg(F.count("*").alias("n_kept")))
+    for name, key in _DELIVERED:
+        rows, kept, _ = _kept_and_dropped(spark, sf_dir, name, key)
+        parts.append(_named(rows, kept, name).groupBy("tbl", "id").agg(F.count("*").alias("n_kept")))
     return parts[0].unionByName(parts[1])
 
 

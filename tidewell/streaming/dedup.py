@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.sources.scratch import fresh_path
 
@@ -14,6 +14,12 @@ def _as_glob(path: str) -> str:
     return path[:-1] + f"[{path[-1]}]"
 
 
+def digest(key: Column) -> Column:
+    """128 bits of an identifier: what the state stores hold and the lookups compare, whatever its length."""
+    text = key.cast("string")
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("|"), text, F.lit("second")).alias("h2"))
+
+
 def keep_first(
     spark: SparkSession,
     path: str,
@@ -28,7 +34,7 @@ def keep_first(
     checkpoint: str | None = None,
     max_bytes_per_trigger: int = 64 << 30,
 ) -> str:
-    """Streams `path`, keeps one row of each `key` and returns the folder with (key, row_id, event_time, batch).
+    """Streams `path`, keeps one row of each `key` and returns the folder with (key digest, row_id, event_time, batch).
 
     State: a keyed store of seen identifiers (RocksDB) that expires entries `delay` after their event time passes
     the watermark. It is checkpointed with the offsets; each micro-batch's output is a folder named by the batch, so
@@ -49,6 +55,7 @@ def keep_first(
         spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(_as_glob(path))
         .select(F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.coalesce(F.col(event_time).cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("event_time"))
         .where("key is not null")
+        .select(digest(F.col("key")).alias("key"), "row_id", "event_time")
         .withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
         .withWatermark("event_time", delay)
         .dropDuplicatesWithinWatermark(["key", "salt"])
@@ -74,14 +81,15 @@ def keep_first(
     return out
 
 
-def kept_rows(spark: SparkSession, out: str, key_type: str) -> DataFrame:
-    return spark.read.schema(f"key {key_type}, row_id bigint, event_time timestamp, batch bigint").parquet(out)
+def kept_rows(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("key struct<h1: bigint, h2: bigint>, row_id bigint, event_time timestamp, batch bigint").parquet(out)
 
 
 def settle(rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) over all rows (key, row_id): `kept` with one row of each identifier that only came too late for
-    the watermark, and the rows that are copies of a kept one. Together they are all rows that have a key."""
-    rows = rows.where("key is not null")
+    the watermark, and the rows that are copies of a kept one, both as (row_id, key digest). Together they are all
+    rows that have a key."""
+    rows = rows.where("key is not null").select("row_id", digest(F.col("key")).alias("key"))
     rest = rows.join(kept.select("row_id"), "row_id", "left_anti")
     unseen = rest.join(kept.select("key"), "key", "left_anti").groupBy("key").agg(F.min("row_id").alias("row_id"))
     all_kept = kept.select("key", "row_id").unionByName(unseen.select("key", "row_id"))
