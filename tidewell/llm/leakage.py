@@ -17,6 +17,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,9 @@ WIDTH, REPETITIONS, SAMPLED = 12, 8, 5
 #: The item side is broadcast; it must stay below this many rows.
 MOST_ITEMS = 200_000
 
-_INVISIBLE = dict.fromkeys(
-    [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x3164, 0xFEFF, 0xFFA0]
-    + [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE01F0)]
-)
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e01ef]")
+#: ASCII characters that are no letter or digit separate words.
+_ASCII = "".join(chr(i) if chr(i).isalnum() else " " for i in range(128))
 _BLOCK = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|hr|blockquote|pre|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
@@ -46,8 +46,10 @@ def words(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = text.translate(_INVISIBLE)
-    return _WORD.findall(text.lower())
+        if _HIDDEN.search(text):
+            text = _HIDDEN.sub("", text)
+        return _WORD.findall(text.lower())
+    return text.lower().translate(_ASCII).split()
 
 
 class ItemIndex:
@@ -73,14 +75,10 @@ class ItemIndex:
                     known.append(i)
         self.distinct = [np.frombuffer(b, np.int32) for b in self.windows]
         self.owners = list(self.windows.values())
-        keys = self.embed(np.array(self.distinct, np.int32).reshape(-1, width))
-        self.tables: list[dict[int, list[int]]] = []
-        for r in range(repetitions):
-            t: dict[int, list[int]] = defaultdict(list)
-            for k, key in enumerate(keys[r].tolist()):
-                t[key].append(k)
-            self.tables.append(t)
-        self.sorted_keys = [np.sort(np.fromiter(t, np.uint64, len(t))) for t in self.tables]
+        self.rows = np.array(self.distinct, np.int32).reshape(-1, width)
+        keys = self.embed(self.rows)
+        # One table a repetition: keys in order, and the window of each.
+        self.tables = [(np.sort(k), np.argsort(k, kind="stable")) for k in keys]
 
     def embed(self, windows: np.ndarray) -> np.ndarray:
         """Keys (repetition x window) of an array of windows (rows of word numbers)."""
@@ -102,32 +100,35 @@ class ItemIndex:
         """(start, window number, edits) of each verified match of the windows of `ids` at `starts`."""
         windows = ids[starts[:, None] + np.arange(self.width)]
         keys = self.embed(windows)
-        pairs: set[tuple[int, int]] = set()
-        for r, known in enumerate(self.sorted_keys):
-            where = np.minimum(np.searchsorted(known, keys[r]), max(len(known) - 1, 0))
-            for k in np.nonzero(known[where] == keys[r])[0].tolist() if len(known) else ():
-                pairs.update((k, w) for w in self.tables[r][int(keys[r][k])])
-        out = []
-        for k, w in pairs:
-            edits = 0 if np.array_equal(windows[k], self.distinct[w]) else edit_distance(windows[k], self.distinct[w], max_edits)
-            if edits <= max_edits:
-                out.append((int(starts[k]), w, edits))
-        return out
-
-
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Levenshtein distance of two word windows; anything above `most` may come out as most + 1."""
+        n = max(1, len(self.rows))
+        pairs = []
+        for (known, window), own in zip(self.tables, keys, strict=True):
+            lo, hi = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+            count = hi - lo
+            k = np.repeat(np.arange(len(own)), count)
+            at = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            pairs.append(k * n + window[at])
+        both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        k, w = both // n, both % n
+        edits = edit_distances(windows[k], self.rows[w], max_edits)
+        ok = edits <= max_edits
+        return list(zip(starts[k[ok]].tolist(), w[ok].tolist(), edits[ok].tolist(), strict=True))
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distances of the rows of two arrays of words, all pairs at once; with most = 0 just 0 or 1."""
     if most <= 0:
-        return 0 if np.array_equal(a, b) else 1
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a.tolist(), 1):
-        row = [i]
-        for j, y in enumerate(b.tolist(), 1):
-            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        if min(row) > most:
-            return most + 1
+        return (a != b).any(axis=1).astype(np.int64)
+    n, width = a.shape
+    before = np.tile(np.arange(b.shape[1] + 1), (n, 1))
+    for i in range(width):
+        row = np.empty_like(before)
+        row[:, 0] = i + 1
+        changed = before[:, :-1] + (b != a[:, i : i + 1])
+        for j in range(b.shape[1]):
+            row[:, j + 1] = np.minimum(np.minimum(before[:, j + 1], row[:, j]) + 1, changed[:, j])
         before = row
-    return before[-1]
+    return before[:, -1]
 
 
 _indexes: dict[tuple[str, int], ItemIndex] = {}
@@ -167,7 +168,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 parts, lengths = [], []
                 for text in texts[lo : lo + 500]:
                     ws = words(text) if text else []
-                    parts.append(np.fromiter((number(w, 0) for w in ws), np.int32, len(ws)))
+                    parts.append(np.fromiter(map(number, ws, repeat(0)), np.int32, len(ws)))
                     lengths.append(len(ws))
                 ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 if len(ids) < width:
