@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.functions.numeric import ratio
+
 FLAGS = ("hack", "regulation", "listing", "depeg")
 HOUR_US = 3_600_000_000
 
@@ -89,8 +91,8 @@ def lookback_features(events: DataFrame, bars: DataFrame, lookbacks: list[int])
         total = lambda c, w=w: F.coalesce(F.sum(c).over(w), F.lit(0))
         real = lambda c, w=w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
         count = F.sum("np").over(w)
-        mean = F.coalesce(F.sum("sp").over(w) / count, F.lit(0.0))
-        variance = F.sum("spp").over(w) / count - mean * mean
+        mean = F.coalesce(ratio(F.sum("sp").over(w), count), F.lit(0.0))
+        variance = F.coalesce(ratio(F.sum("spp").over(w), count) - mean * mean, F.lit(0.0))
         decay = _horner(F.collect_list(F.coalesce(F.col(f"dec{L}"), F.lit(0.0))).over(w), math.exp(-2.0 / L))
         out.append(F.struct(
             F.lit(L).alias("lookback_h"), total("n").alias("n_events"), total("n_high").alias("n_high_conf_events"), real("sp").alias("polarity_sum"), mean.alias("polarity_mean"),

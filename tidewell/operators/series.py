@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.functions.numeric import corr, ratio
+
 
 def by(asset: str = "asset", ts: str = "ts") -> Window:
     return Window.partitionBy(asset).orderBy(ts)
@@ -23,11 +25,11 @@ def union_grid(prices: DataFrame) -> DataFrame:
 
 def forward_return(close: Column, h: int, w) -> Column:
     """close(h rows later) / close - 1; null where either is missing."""
-    return F.lead(close, h).over(w) / close - 1
+    return ratio(F.lead(close, h).over(w), close) - 1
 
 
 def momentum(close: Column, n: int, w) -> Column:
-    return close / F.lag(close, n).over(w) - 1
+    return ratio(close, F.lag(close, n).over(w)) - 1
 
 
 def forward_fill(value: Column, w) -> Column:
@@ -53,7 +55,7 @@ def trailing_beta(returns: DataFrame, window: int = 720, least: int = 168) -> Da
     both = F.col("r").isNotNull() & F.col("m").isNotNull()
     cov = F.covar_samp(F.when(both, F.col("r")), F.when(both, F.col("m"))).over(f)
     n, nm = F.count(F.when(both, 1)).over(f), F.count("m").over(f)
-    known = returns.withColumn("_b", F.when((n >= least) & (nm >= least), cov / F.var_samp("m").over(f)))
+    known = returns.withColumn("_b", F.when((n >= least) & (nm >= least), ratio(cov, F.var_samp("m").over(f))))
     return known.withColumn("beta", F.lag("_b", 1).over(w)).drop("_b")
 
 
@@ -86,7 +88,7 @@ def drawdown(returns: DataFrame, asset: str, ts: str, r: str) -> DataFrame:
     """Adds equity (product of 1 + r so far), peak and dd = equity / peak - 1."""
     w = Window.partitionBy(asset).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     e = returns.withColumn("equity", F.product(1 + F.col(r)).over(w))
-    return e.withColumn("peak", F.max("equity").over(w)).withColumn("dd", F.col("equity") / F.col("peak") - 1)
+    return e.withColumn("peak", F.max("equity").over(w)).withColumn("dd", ratio(F.col("equity"), F.col("peak")) - 1)
 
 
 def autocorrelation(rows: DataFrame, asset: str, ts: str, value: str, max_lag: int) -> DataFrame:
@@ -99,7 +101,7 @@ def autocorrelation(rows: DataFrame, asset: str, ts: str, value: str, max_lag: i
     pairs = held.where(F.col("_n") > max_lag).select(asset, "x", F.explode("p").alias("p")).select(asset, "x", "p.lag", "p.y")
     pairs = pairs.where("x is not null and y is not null")
     flat = (F.stddev_pop("x") < 1e-12) | (F.stddev_pop("y") < 1e-12)
-    return pairs.groupBy(asset, "lag").agg(F.when(flat, F.lit(1.0)).otherwise(F.corr("x", "y")).alias("acf"), F.count("*").alias("n"))
+    return pairs.groupBy(asset, "lag").agg(F.when(flat, F.lit(1.0)).otherwise(corr("x", "y")).alias("acf"), F.count("*").alias("n"))
 
 
 def top_minus_bottom(rows: DataFrame, ts: str, asset: str, x: str, y: str, least: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.functions.numeric import ratio
 from tidewell.operators.series import average_rank
 
 
@@ -111,7 +112,7 @@ def ks_two_sample(rows: DataFrame, value: str, side: str, by: list[str]) -> Data
     c = ok.groupBy(*by, value).agg(F.count(F.when(F.col(side) == 0, 1)).alias("c0"), F.count(F.when(F.col(side) == 1, 1)).alias("c1"))
     all_ = Window.partitionBy(*by)
     upto = all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("c0").over(upto) / F.sum("c0").over(all_) - F.sum("c1").over(upto) / F.sum("c1").over(all_))
+    gap = F.abs(ratio(F.sum("c0").over(upto), F.sum("c0").over(all_)) - ratio(F.sum("c1").over(upto), F.sum("c1").over(all_)))
     return c.withColumn("_g", gap).groupBy(*by).agg(F.max("_g").alias("d"), F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions.numeric import corr
 from tidewell.operators import pit
 from tidewell.plans.fixtures import r6, registry
 
@@ -211,7 +212,7 @@ def A16_feature_correlations(v):
     aggs = []
     for a, b in _PAIRS:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r"), F.count(F.when(both, 1)).alias("n")))
+        aggs.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r"), F.count(F.when(both, 1)).alias("n")))
     return v.ev.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.f1", "x.f2", r6(F.col("x.r"), "r"), "x.n")
 
 

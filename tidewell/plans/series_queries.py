@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
+from tidewell.functions.numeric import ratio
 from tidewell.operators import series
 from tidewell.plans.fixtures import r6, registry
 
@@ -142,7 +143,7 @@ _RET_D = "rd as (select asset, open_time as ts, (close / lag(close) over (partit
 
 def _daily_returns(v):
     w = Window.partitionBy("asset").orderBy("open_time")
-    return v.ohlcv_d.select("asset", F.col("open_time").alias("ts"), ((F.col("close") / F.lag("close", 1).over(w) - 1) / F.lit(100.0)).alias("r"))
+    return v.ohlcv_d.select("asset", F.col("open_time").alias("ts"), ((ratio(F.col("close"), F.lag("close", 1).over(w)) - 1) / F.lit(100.0)).alias("r"))
 
 
 @query(f"with {_RET_D}, e as (select asset, ts, exp(sum(ln(1 + r)) over w) as equity from rd where r is not null window w as (partition by asset order by ts rows unbounded preceding)), p as (select *, max(equity) over (partition by asset order by ts rows unbounded preceding) as peak from e) select asset, ts, round(equity, 6) as equity, round(equity / peak - 1, 6) as dd from p", "ohlcv_d")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from tidewell.functions.numeric import corr, ratio
 from tidewell.operators import pit, series, stats
 from tidewell.plans.fixtures import r6, registry
 from tidewell.plans.series_queries import vol_frame
@@ -115,7 +116,7 @@ def M9_F3_event_study(v):
 
 @query(f"""with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3) select feature, h, round(avg(r), 6) as ic, count(r) as n_assets from c group by 1, 2""", "ohlcv_h")
 def M11_ic_profile(v):
-    c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(F.corr("x", "y").alias("r"))
+    c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(corr("x", "y").alias("r"))
     return c.groupBy("feature", "h").agg(r6(F.avg("r"), "ic"), F.count("r").alias("n_assets"))
 
 
@@ -144,7 +145,7 @@ _RD = "rd as (select asset, open_time as ts, (close / lag(close) over (partition
 
 def _returns(v):
     w = Window.partitionBy("asset").orderBy("open_time")
-    return v.ohlcv_d.select("asset", F.col("open_time").alias("ts"), ((F.col("close") / F.lag("close", 1).over(w) - 1) / F.lit(100.0)).alias("r"))
+    return v.ohlcv_d.select("asset", F.col("open_time").alias("ts"), ((ratio(F.col("close"), F.lag("close", 1).over(w)) - 1) / F.lit(100.0)).alias("r"))
 
 
 _SH = "case when stddev_samp(r) > 1e-12 then avg(r) / stddev_samp(r) * sqrt(365.0) end"
@@ -220,7 +221,7 @@ def M27_pooled_vs_within(v):
     """Correlation pooled over eras beside the one with era means taken out."""
     e = Window.partitionBy("asset", "feature", "h", "era")
     o = _grid(v).where("x is not null and y is not null").withColumns({"xe": F.col("x") - F.avg("x").over(e), "ye": F.col("y") - F.avg("y").over(e)})
-    c = o.groupBy("asset", "feature", "h").agg(F.corr("x", "y").alias("p"), F.corr("xe", "ye").alias("q"))
+    c = o.groupBy("asset", "feature", "h").agg(corr("x", "y").alias("p"), corr("xe", "ye").alias("q"))
     return c.groupBy("feature", "h").agg(r6(F.avg("p"), "pooled"), r6(F.avg("q"), "within_era"), F.count("*").alias("n_assets"))
 
 
@@ -228,7 +229,7 @@ def M27_pooled_vs_within(v):
 def M28_era_table(v):
     t = _joined(v).groupBy("era", "ts").agg(F.avg("f1").alias("f"), F.avg("y1").alias("y"))
     both = F.col("f").isNotNull() & F.col("y").isNotNull()
-    return t.groupBy("era").agg(F.count("*").alias("n"), r6(F.avg("f"), "mean_feature"), r6(F.avg("y"), "mean_return"), r6(F.corr(F.when(both, F.col("f")), F.when(both, F.col("y"))), "r"))
+    return t.groupBy("era").agg(F.count("*").alias("n"), r6(F.avg("f"), "mean_feature"), r6(F.avg("y"), "mean_return"), r6(corr(F.when(both, F.col("f")), F.when(both, F.col("y"))), "r"))
 
 
 _AR = """px as (select asset, open_time as ts, ln(close) as lp from ohlcv_h), mk as (select ts, sum(lp) as tot, count(*) as n from px group by 1 having count(*) = 5),
@@ -301,7 +302,7 @@ def F4_F5_holdout_split(v):
 
 @query(f"with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3) select feature, arg_max(asset, row(abs(r), asset)) as asset, round(max(abs(r)), 6) as strongest from c where r is not null group by 1", "ohlcv_h")
 def O4_strongest_cell(v):
-    c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(F.corr("x", "y").alias("r")).where("r is not null")
+    c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(corr("x", "y").alias("r")).where("r is not null")
     return c.groupBy("feature").agg(F.max_by("asset", F.struct(F.abs("r"), "asset")).alias("asset"), r6(F.max(F.abs("r")), "strongest"))
 
 
