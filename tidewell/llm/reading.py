@@ -161,6 +161,8 @@ class Model:
 
 def train(samples: list[tuple[str, str]], ridge: float = 1.0) -> Model:
     """Fits on graded texts (text, level). They are a small fixed table; see `grade_documents` for its bound."""
+    if len({v for _, v in samples}) < 2:
+        raise ValueError("at least two levels are needed to learn from")
     x = np.array([features(t) for t, _ in samples])
     y = np.array([LEVELS.index(v) for _, v in samples])
     w, _ = fit_ranker(x, y, ridge)
