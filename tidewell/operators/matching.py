@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.functions.text import ALIASES
 
@@ -68,12 +68,16 @@ def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str, order: list[Column] | None = None) -> DataFrame:
     """Old and new rows with one row a key. Policies: existing_wins, last_wins (the new row), first_wins (within all rows
-    by `order`). `order` decides within one side; ties are broken by nothing else, so it should be total. The window is
-    sorted by key; a hot key with many rows is sorted with spill in its partition."""
+    by `order`). `order` decides within one side, nulls first; what is still alike is decided by the row itself, so the
+    result doesn't depend on partitions. One row a key leaves each task, so a hot key costs no more than any other.
+    Columns of a map type can't be compared; they take no part in breaking ties."""
     ranks = {"existing_wins": (0, 1), "last_wins": (1, 0), "first_wins": (0, 0)}
     if policy not in ranks:
         raise ValueError(f"unknown policy {policy!r}")
     a, b = ranks[policy]
     both = old.withColumn("_side", F.lit(a)).unionByName(new.withColumn("_side", F.lit(b)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_side", *(order or []))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_side")
+    rest = [c for c in both.columns if c not in keys and c != "_side"]
+    plain = [F.col(c) for c in rest if not isinstance(both.schema[c].dataType, T.MapType)]
+    rank = F.struct("_side", *[o.alias(f"o{i}") for i, o in enumerate(order or [])], *plain)
+    best = both.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), rank).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in both.columns if c != "_side"])

@@ -66,6 +66,18 @@ def average_rank(value: str, partition: list[str]) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(p.orderBy(value)) + (F.count("*").over(ties) - 1) / F.lit(2.0))
 
 
+def with_average_rank(rows: DataFrame, cell: list[str], value: str, out: str = "rank") -> DataFrame:
+    """`rows` with the average rank of `value` in its cell, for cells of any size.
+
+    Equal values of a cell are counted inside the tasks first; the running counts see each distinct value once, and
+    the ranks are joined back by value, where the engine splits a hot one. Null values have a null rank.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*cell).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = c.select(*cell, value, (before + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
+    return rows.join(ranks, [*cell, value], "left")
+
+
 def forward_sum(value: Column, h: int, w) -> Column:
     """Sum of the next h rows; null unless all of them have a value."""
     f = w.rowsBetween(1, h)

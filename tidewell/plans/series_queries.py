@@ -135,7 +135,7 @@ def W10_W12_M24_vol_frame(v):
 
 @query("select item_id, asset, case when raw_tone is not null then rank() over (partition by asset, raw_tone is null order by raw_tone) + (count(*) over (partition by asset, raw_tone) - 1) / 2.0 end as r from ev", "ev")
 def W13_average_rank(v):
-    return v.ev.select("item_id", "asset", series.average_rank("raw_tone", ["asset"]).alias("r"))
+    return series.with_average_rank(v.ev.select("item_id", "asset", "raw_tone"), ["asset"], "raw_tone", "r").select("item_id", "asset", "r")
 
 
 _RET_D = "rd as (select asset, open_time as ts, (close / lag(close) over (partition by asset order by open_time) - 1) / 100 as r from ohlcv_d)"

@@ -181,10 +181,12 @@ def M18_M23_walk_forward_ridge(v):
     return p.groupBy("asset", "part").agg(F.count("*").alias("n"), stats.sharpe("pnl").alias("sharpe"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
 
 
-@query("""with s as (select item_id, asset, raw_tone as x, avg(raw_tone) over w as m, stddev_samp(raw_tone) over w as sd from ev window w as (partition by asset))
-select item_id, asset, round(case when sd > 1e-12 then greatest(-2.0, least(2.0, (x - m) / sd)) * 0.075 else 0.0 end, 6) as pos from s where x is not null""", "ev")
+@query("""with h as (select asset, date_trunc('hour', published_at) as ts, sum(raw_tone) as x from ev where raw_tone is not null group by 1, 2), s as (select asset, ts, x, avg(x) over w as m, stddev_samp(x) over w as sd from h window w as (partition by asset))
+select asset, ts, round(case when sd > 1e-12 then greatest(-2.0, least(2.0, (x - m) / sd)) * 0.075 else 0.0 end, 6) as pos from s""", "ev")
 def M19_positions(v):
-    return v.ev.where("raw_tone is not null").withColumn("pos", stats.position("raw_tone", ["asset"])).select("item_id", "asset", r6("pos"))
+    """Positions from an hourly signal."""
+    h = v.ev.where("raw_tone is not null").groupBy("asset", F.date_trunc("hour", "published_at").alias("ts")).agg(F.sum("raw_tone").alias("x"))
+    return h.withColumn("pos", stats.position("x", ["asset"])).select("asset", "ts", r6("pos"))
 
 
 @query("""with px as (select asset, open_time as ts, close from ohlcv_d), w as (select asset, ts, close / lag(close, 5) over o - 1 as mom, lead(close) over o / close - 1 as nxt from px window o as (partition by asset order by ts))
@@ -313,3 +315,32 @@ def M24_M25_volatility_residual(v):
     eps = F.lit(1e-12)
     y = f.select("asset", "ts", "how", F.log((F.col("rv") + eps) / F.when(F.col("sf") != 0, F.col("sf"))).alias("y"), F.log(F.col("d12") + eps).alias("x1"), F.log(F.col("d24") + eps).alias("x2"))
     return stats.fixed_effects_residual(y, ["asset"], ["asset", "how"], "y", "x1", "x2").select("asset", "ts", r6("resid"))
+
+
+@query(None)
+def L5_X17_signal_table(v):
+    """Fitted on the bars before the split, applied to those after it; the z-score uses the training part only."""
+    j = _joined(v).where("y1 is not null")
+    cut = F.lit(_SPLIT).cast("timestamp")
+    fit = stats.ridge_fit(j.where(F.col("ts") < cut), ["asset"], ["f1", "f2", "f3"], "y1")
+    scored = stats.predict(j, fit, ["asset"], ["f1", "f2", "f3"])
+    base = scored.where(F.col("ts") < cut).groupBy("asset").agg(F.avg("signal").alias("m"), F.stddev_samp("signal").alias("sd"))
+    z = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), ratio(F.col("signal") - F.col("m"), F.col("sd"))))
+    return scored.where(F.col("ts") >= cut).join(base, "asset").select("asset", "ts", "signal", (F.coalesce(z, F.lit(0.0)) * 0.075).alias("position"))
+
+
+@query("""with a as (select asset, event_type, avg(case when model_version like '%8b%' then magnitude end) as p, avg(case when model_version like '%14b%' then magnitude end) as q, stddev_samp(case when model_version like '%8b%' then magnitude end) as sp, count(*) as n from er group by 1, 2)
+select event_type, round(avg(abs(p - q)), 6) as mean_gap, round(corr(p, q), 6) as r, cast(sum(n) as bigint) as n from a where p is not null and q is not null group by 1""", "er")
+def M35_contamination_report(v):
+    """How two extraction arms differ, by event type."""
+    arm = lambda like: F.avg(F.when(F.col("model_version").like(like), F.col("magnitude")))
+    a = v.er.groupBy("asset", "event_type").agg(arm("%8b%").alias("p"), arm("%14b%").alias("q"), F.count("*").alias("n")).where("p is not null and q is not null")
+    return a.groupBy("event_type").agg(r6(F.avg(F.abs(F.col("p") - F.col("q"))), "mean_gap"), r6(corr("p", "q"), "r"), F.sum("n").alias("n"))
+
+
+@query("""with f as (select asset, date_trunc('hour', published_at) + interval 1 hour as ts, avg(polarity) as x from ev group by 1, 2) select p.asset, p.open_time as ts, p.close, round(f.x, 6) as x, round(coalesce(f.x, 0), 6) as filled from ohlcv_h p left join f on f.asset = p.asset and f.ts = p.open_time""", "ohlcv_h")
+def J5_F12_align_and_fill(v):
+    """Features aligned to the price clock; missing ones null and, beside it, zero."""
+    f = v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(F.avg("polarity").alias("x"))
+    p = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close")
+    return p.join(f, ["asset", "ts"], "left").select("asset", "ts", "close", r6("x"), r6(F.coalesce("x", F.lit(0.0)), "filled"))

@@ -128,3 +128,33 @@ def L6_smoke_checks(v):
     f = pit.lookback_features(v.ev, v.bars_h, [24])
     bad = F.isnan("polarity_sum") | F.col("polarity_sum").isNull()
     return f.agg(F.count("*").alias("n_bars"), F.count(F.when(bad, 1)).alias("n_bad"), F.count(F.when((F.col("n_events") == 0) & (F.col("polarity_sum") != 0), 1)).alias("n_leaks"))
+
+
+@query("""select item_id, date_trunc('second', ingested_at) as crawled_at, raw_tone as tone, lower(source_domain) as source_domain, url from raw_news where source = 'gdelt' and regexp_matches(coalesce(url, ''), 'orbitcrawl|deepcrawl') and raw_tone is not null""")
+def S8_X1_wire_extract(v):
+    """Packed timestamps and comma lists of a wire extract cast to typed columns behind pushed filters."""
+    wire = v.news.where("source = 'gdelt' and raw_tone is not null").select("item_id", F.date_format("ingested_at", "yyyyMMddHHmmss").cast("bigint").alias("date"), F.concat_ws(",", F.col("raw_tone").cast("string"), F.lit("1.5"), F.lit("0")).alias("tones"), "source_domain", "url")
+    hit = wire.where(F.coalesce("url", F.lit("")).rlike("orbitcrawl|deepcrawl"))
+    return hit.select("item_id", F.to_timestamp(F.col("date").cast("string"), "yyyyMMddHHmmss").alias("crawled_at"), F.split("tones", ",")[0].cast("double").alias("tone"), F.lower("source_domain").alias("source_domain"), "url")
+
+
+@query("""select distinct item_id, title, coalesce(nullif(summary, ''), '') as body from rss_items""")
+def S18_article_texts(v):
+    return v.rss.select("item_id", "title", F.coalesce(F.nullif("summary", F.lit("")), F.lit("")).alias("body")).distinct()
+
+
+@query("""select asset, cast(count(*) as bigint) as n, round(avg(polarity), 6) as mean from er group by 1""", "er")
+def K10_report_csv(v):
+    """A result table as one CSV file, read back typed."""
+    path = fresh_path(v.spark, "report")
+    sinks.write_report(v.er.groupBy("asset").agg(F.count("*").alias("n"), r6(F.avg("polarity"), "mean")), path)
+    return v.spark.read.schema("asset string, n bigint, mean double").option("header", True).csv(path)
+
+
+@query("""with f as (select asset, date_trunc('day', published_at) as day, count(*) as n from ev group by 1, 2) select asset, cast(cast(day as date) as varchar) as date, n from f where asset in ('A1', 'A3') and day >= timestamp '2024-01-10'""", "ev")
+def S2_S3_partition_pruned_scan(v):
+    """A store partitioned by asset and date, read through its partition columns only."""
+    path = fresh_path(v.spark, "features")
+    v.ev.groupBy("asset", F.to_date("published_at").cast("string").alias("date")).agg(F.count("*").alias("n")).write.partitionBy("asset", "date").parquet(path)
+    stored = v.spark.read.schema("n bigint, asset string, date string").parquet(path)
+    return stored.where(F.col("asset").isin("A1", "A3") & (F.col("date") >= "2024-01-10")).select("asset", "date", "n")

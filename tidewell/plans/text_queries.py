@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.jsonfix import parsed_extraction
@@ -164,8 +164,9 @@ def _stores(v):
 @query(f"with {_STORE}, r as (select *, row_number() over (partition by item_id order by prio, ingested_at, title nulls first, coalesce(body, '')) as rk from a) select item_id, source, prio, title from r where rk = 1")
 def S1_union_stores(v):
     """The three stores as one, first store wins."""
-    w = Window.partitionBy("item_id").orderBy("prio", "ingested_at", F.asc_nulls_first("title"), F.coalesce("body", F.lit("")))
-    return _stores(v).withColumn("rk", F.row_number().over(w)).where("rk = 1").select("item_id", "source", "prio", "title")
+    order = F.struct("prio", "ingested_at", "title", F.coalesce("body", F.lit("")).alias("b"))
+    best = _stores(v).groupBy("item_id").agg(F.min_by(F.struct("source", "prio", "title"), order).alias("r"))
+    return best.select("item_id", "r.source", "r.prio", "r.title")
 
 
 @query("select item_id, title, published_at, raw_tone from raw_news where source = 'gdelt' and source_domain = 'deepcrawl.example' and length(title) > 0")
@@ -185,8 +186,8 @@ def S16_events_with_items(v):
     """Records joined to their items, bad clocks dropped, one row per item and asset."""
     n = v.news.select("item_id", "ingested_at").distinct()
     j = v.er.where("published_at >= timestamp'2024-06-01'").join(n, "item_id").where(F.col("ingested_at") >= F.col("published_at") - F.expr("interval 1 minute"))
-    w = Window.partitionBy("item_id", "asset").orderBy("record_id")
-    return j.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("item_id", "asset", "record_id", "polarity")
+    best = j.groupBy("item_id", "asset").agg(F.min(F.struct("record_id", "polarity")).alias("r"))
+    return best.select("item_id", "asset", "r.record_id", "r.polarity")
 
 
 @query("select item_id, title from (select distinct item_id, title from raw_news where length(title) > 0 and length(body) > 0) order by md5(concat(item_id, '42')), title limit 500")
