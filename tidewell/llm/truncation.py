@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A context must have been seen this often to speak.
 SUPPORT = 2
+#: A sentence that so many different texts trail off with, and none goes on from, is a way to end a text.
+TEASER = 5
 KINDS = ("full", "four", "two", "one", "word", "stem")
 
 _TAG = re.compile(r"<[^<>]*>")
@@ -28,7 +30,7 @@ _OPEN_TAG = re.compile(r"<[A-Za-z/!][^<>]*$|<$")
 _OPEN_REFERENCE = re.compile(r"&(?:#?\w{0,8})$")
 _MORE = re.compile(r"\s*[\[({]\s*(?:more|read more|continued?|cont|…|\.\.\.|\s)*\s*[\])}]$", re.I)
 _ELLIPSIS = re.compile(r"\s*(?:…|\.\.\.+|‥)$")
-_INVITE = re.compile(r"\s*\b(?:continue reading|keep reading|read more|read on|see more|more|full story|read the full (?:story|article))\s*[→»>]*\s*$", re.I)
+_INVITE = re.compile(r"\s*\b(?:continue reading|keep reading|read more|read on|see more|full story|read the full (?:story|article))\s*[→»>]*\s*$", re.I)
 _URL = re.compile(r"\s*(?:https?://|www\.)\S*$")
 _ASIDE = re.compile(r"\s+\([^()]*\)$")
 _QUOTES = "\"'“”‘’«»„()[]{}"
@@ -225,7 +227,8 @@ def _verdict() -> Column:
     on, end, trail = (lambda k, c=c: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0)) for c in ("went_on", "ended", "trailed"))
     has_word = F.max(F.when(F.col("kind") == 4, 1)).isNotNull()
     sign = F.max("sign")
-    rule = F.when(F.max("dangling"), True).when(has_word & (on(4) == 0) & (on(5) > 0), True)
+    teaser = (on(0) == 0) & (trail(0) >= TEASER)
+    rule = F.when(F.max("dangling"), True).when(teaser, False).when(has_word & (on(4) == 0) & (on(5) > 0), True)
     for k in range(4):
         # Texts that trail off alike again and again are a way to end (a teaser); one of them may be this text.
         ended = end(k) + (F.greatest(trail(k) - 1, F.lit(0)) if k == 0 else F.lit(0))
