@@ -94,11 +94,12 @@ class _Tokens(dict):
                 out, first = "0" if first else "0" * len(m.group()), False
                 return out
 
-            mask = _DIGITS.sub(run, core)
+            # The written form of a number is its word: "$64,0" is none where "$0,000" is.
+            core = mask = _DIGITS.sub(run, core)
         else:
             mask = "X" if core[:1].isupper() else core.lower()
         h = lambda s: xxhash.xxh64_intdigest(s)
-        out = (h("m:" + mask), h("w:" + core) if core and not digits else 0, stops, core)
+        out = (h("m:" + mask), h("w:" + core) if core else 0, stops, core)
         if len(self) > 500_000:
             self.clear()
         self[raw] = out
