@@ -49,11 +49,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At the general setting (five words, similarity 0.8): every item of raw_news with its class of equal texts and
-    the number of similar classes."""
-    members, links = neardup.near_duplicates(_stories(spark, sf_dir)["raw_news"], k=5, threshold=0.8, least=1)
-    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    return members.join(degree, "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """At the general setting (five words, similarity 0.8): every item of raw_news and rss_items with its class of
+    equal texts and the number of similar classes."""
+    parts = []
+    for name, rows in _stories(spark, sf_dir).items():
+        members, links = neardup.near_duplicates(rows, k=5, threshold=0.8, least=1)
+        degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+        parts.append(members.join(degree, "cls", "left").select(F.lit(name).alias("tbl"), "id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return parts[0].unionByName(parts[1])
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
