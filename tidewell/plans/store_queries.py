@@ -77,13 +77,13 @@ def S12_parse_feed_xml(v):
     return rows.select("delivery_id", x.alias("x")).select("delivery_id", "x.guid", F.trim("x.title").alias("title"))
 
 
-@query("""with m as (select asset, date_trunc('minute', published_at) + interval 1 minute as ts, arg_max(ln(raw), row(published_at, item_id)) as lp from ev where published_at < timestamp '2024-01-04' group by 1, 2),
+@query("""with m as (select asset, date_trunc('minute', published_at) + interval 1 minute as ts, arg_max(ln(raw), row(published_at, item_id)) as lp from ev group by 1, 2),
 g as (select asset, unnest(generate_series(min(ts), max(ts), interval 1 minute)) as ts from m group by asset)
 select asset, count(*) as n_minutes, round(sum(lp), 6) as total from (select g.asset, last_value(m.lp ignore nulls) over (partition by g.asset order by g.ts rows unbounded preceding) as lp from g left join m on m.asset = g.asset and m.ts = g.ts) group by 1""", "ev")
 def S5_minute_grid(v):
     """Log prices on a dense minute grid, stamped when they are known, filled forward."""
     at = F.struct("published_at", "item_id")
-    m = v.ev.where(F.col("published_at") < F.lit("2024-01-04").cast("timestamp")).groupBy("asset", (F.date_trunc("minute", "published_at") + F.expr("interval 1 minute")).alias("ts")).agg(F.max_by(F.log("raw"), at).alias("lp"))
+    m = v.ev.groupBy("asset", (F.date_trunc("minute", "published_at") + F.expr("interval 1 minute")).alias("ts")).agg(F.max_by(F.log("raw"), at).alias("lp"))
     g = m.groupBy("asset").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select("asset", F.explode(F.expr("sequence(lo, hi, interval 1 minute)")).alias("ts"))
     filled = g.join(m, ["asset", "ts"], "left").select("asset", series.forward_fill(F.col("lp"), series.by()).alias("lp"))
     return filled.groupBy("asset").agg(F.count("*").alias("n_minutes"), r6(F.sum("lp"), "total"))

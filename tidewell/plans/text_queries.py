@@ -257,18 +257,18 @@ def X14_pivot_report(v):
 
 @query(None)
 def M1_M2_novelty(v):
-    """Novelty of every record against its asset's records of the two days before."""
+    """Novelty of every record against the records of its model and asset in the two days before."""
     heads = v.news.groupBy("item_id").agg(F.max("title").alias("title"))
-    rows = v.er.where("model_version = 'gran-14b-q5-v2'").join(heads, "item_id", "left").select(
-        F.col("record_id").alias("id"), "asset", F.col("published_at").alias("ts"), F.concat_ws(" ", F.coalesce("title", F.lit("")), "event_type").alias("text"), F.col("content_hash").alias("hash")
+    rows = v.er.join(heads, "item_id", "left").select(
+        F.col("record_id").alias("id"), F.concat_ws("|", "model_version", "asset").alias("asset"), F.col("published_at").alias("ts"), F.concat_ws(" ", F.coalesce("title", F.lit("")), "event_type").alias("text"), F.col("content_hash").alias("hash")
     )
     return matching.novelty(rows, rows).select(F.col("id").alias("record_id"), r6("novelty"))
 
 
 SQL["M1_M2_novelty"] = """
 with h as (select item_id, max(title) as title from raw_news group by 1),
-r as (select e.record_id as id, e.asset, e.published_at as ts, e.content_hash as hash, lower(concat(coalesce(h.title, ''), ' ', e.event_type)) as text
- from (select distinct record_id, item_id, content_hash, published_at, nullif(upper(regexp_replace(trim(asset), '^\\$+\\s*', '')), '') as asset, event_type from event_records where model_version = 'gran-14b-q5-v2') e left join h on h.item_id = e.item_id),
+r as (select e.record_id as id, concat_ws('|', e.model_version, e.asset) as asset, e.published_at as ts, e.content_hash as hash, lower(concat(coalesce(h.title, ''), ' ', e.event_type)) as text
+ from (select distinct record_id, item_id, content_hash, model_version, published_at, nullif(upper(regexp_replace(trim(asset), '^\\$+\\s*', '')), '') as asset, event_type from event_records) e left join h on h.item_id = e.item_id),
 p as (select a.id, b.id as wid from r a join r b on a.asset = b.asset and b.ts < a.ts and b.ts >= a.ts - interval 48 hour and a.hash <> b.hash),
 t as (select id, w, count(*) as tf from (select id, unnest(regexp_extract_all(text, '[a-z0-9_]+')) as w from r) group by 1, 2),
 n as (select id, count(*) + 1 as n from p group by 1),
