@@ -57,8 +57,7 @@ def normalise_instants(rows: DataFrame, raw: str, source: str, feeds: DataFrame,
     rows = rows.withColumnsRenamed({c: f"r_{c}" for c in cols})
     raw_c, src_c = F.col(f"r_{raw}"), F.col(f"r_{source}")
     book = grow_dictionary(distinct_values(rows, f"r_{raw}", f"r_{source}"), feeds, path)
-    total = book.agg(F.sum("n").alias("_total"))
-    hot = book.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("_total") * HOT_SHARE)
+    hot = book.where(F.col("n") >= book.agg(F.sum("n")).scalar() * HOT_SHARE)
     match = lambda d: (raw_c == d["raw"]) & src_c.eqNullSafe(d["src"])
     plain = ~raw_c.rlike(r"\S") | raw_c.isNull() | raw_c.rlike(CANONICAL)
     named = {**{c: F.col(f"r_{c}") for c in cols}}

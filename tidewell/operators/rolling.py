@@ -40,11 +40,8 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, values: list[str],
     """
     daily = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
     fields = ["n"] + [f"{v}_{k}" for v in values for k in ("sum", "n")]
-    bounds = daily.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))  # one row
-    grid = (
-        daily.select(entity).distinct().crossJoin(F.broadcast(bounds))
-        .select(entity, F.explode(F.sequence("_lo", "_hi")).alias(day))
-    )
+    first, last = daily.agg(F.min(day)).scalar(), daily.agg(F.max(day)).scalar()
+    grid = daily.select(entity).distinct().select(entity, F.explode(F.sequence(first, last)).alias(day))
     dense = grid.join(daily, [entity, day], "left").select(entity, day, *[F.coalesce(F.col(f), F.lit(0)).alias(f) for f in fields])
     w = Window.partitionBy(entity).orderBy(day)
     zero = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0))

@@ -17,9 +17,8 @@ def union_grid(prices: DataFrame) -> DataFrame:
     """(asset, ts, close) on the union of all assets' times, so that a shift by rows is a shift on one clock."""
     times = prices.select("ts").distinct()
     assets = prices.select("asset").distinct()
-    # A few assets by the clock: the asset side is grouped into one row and exploded, not crossed.
-    lists = assets.agg(F.collect_set("asset").alias("_all"))
-    grid = times.crossJoin(F.broadcast(lists)).select("ts", F.explode("_all").alias("asset"))
+    # A few assets by the clock: the list of assets is one value, exploded at each time.
+    grid = times.select("ts", F.explode(assets.agg(F.collect_set("asset")).scalar()).alias("asset"))
     return grid.join(prices, ["asset", "ts"], "left")
 
 

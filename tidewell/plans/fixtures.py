@@ -39,8 +39,9 @@ class Views:
     @cached_property
     def bars_h(self) -> DataFrame:
         """Dense hourly bars of every asset, from the first day to the day after the last, both ends included."""
-        ends = self.ev.agg(F.date_trunc("day", F.min("published_at")).alias("lo"), (F.date_trunc("day", F.max("published_at")) + F.expr("interval 1 day")).alias("hi"))
-        return self.ev.select("asset").distinct().crossJoin(F.broadcast(ends)).select("asset", F.explode(F.expr("sequence(lo, hi, interval 1 hour)")).alias("bar_open_ts"))
+        lo = self.ev.agg(F.date_trunc("day", F.min("published_at"))).scalar()
+        hi = self.ev.agg(F.date_trunc("day", F.max("published_at")) + F.expr("interval 1 day")).scalar()
+        return self.ev.select("asset").distinct().select("asset", F.explode(F.sequence(lo, hi, F.expr("interval 1 hour"))).alias("bar_open_ts"))
 
     @cached_property
     def ohlcv_h(self) -> DataFrame:

@@ -274,25 +274,25 @@ def M30_M31_F8_day_clustered(v):
 select round(sum(abs(cur / nullif(cast((select sum(cur) from c) as double), 0) - prior / nullif(cast((select sum(prior) from c) as double), 0))) / 2.0, 6) as drift, cast(sum(cur) as bigint) as n_current, cast(sum(prior) as bigint) as n_prior from c""", "er")
 def M32_type_drift(v):
     """Distance of the last day's event types from the six days before; the newest record is the clock."""
-    now = v.er.agg(F.max("published_at").alias("now"))
-    age = F.unix_micros("now") - F.unix_micros("published_at")
+    age = F.unix_micros(v.er.agg(F.max("published_at")).scalar()) - F.unix_micros("published_at")
     day = F.lit(86_400_000_000)
-    rows = v.er.crossJoin(F.broadcast(now)).where((age > 0) & (age <= day * 7))
-    c = rows.groupBy("event_type").agg(F.count(F.when(age <= day, 1)).alias("cur"), F.count(F.when(age > day, 1)).alias("prior"))
-    total = c.agg(F.sum("cur").alias("tc"), F.sum("prior").alias("tp"))
+    rows = v.er.withColumn("age", age).where((F.col("age") > 0) & (F.col("age") <= day * 7))
+    c = rows.groupBy("event_type").agg(F.count(F.when(F.col("age") <= day, 1)).alias("cur"), F.count(F.when(F.col("age") > day, 1)).alias("prior"))
+    whole = Window.partitionBy()  # a row an event type
+    c = c.withColumns({"tc": F.sum("cur").over(whole), "tp": F.sum("prior").over(whole)})
     share = F.abs(F.col("cur") / F.nullif("tc", F.lit(0)) - F.col("prior") / F.nullif("tp", F.lit(0)))
-    return c.crossJoin(F.broadcast(total)).agg(r6(F.sum(share) / 2.0, "drift"), F.sum("cur").alias("n_current"), F.sum("prior").alias("n_prior"))
+    return c.agg(r6(F.sum(share) / 2.0, "drift"), F.sum("cur").alias("n_current"), F.sum("prior").alias("n_prior"))
 
 
 @query("""with a as (select count(distinct item_id) as n from raw_news), d as (select count(distinct item_id) as k from event_records where item_id in (select item_id from raw_news)), z as (select count(case when polarity = 0 then 1 end) / cast(count(*) as double) as zero from er)
 select round(k / cast(n as double), 6) as success_rate, round(1 - k / cast(n as double), 6) as miss_rate, case when k / cast(n as double) < 0.85 then 'low_extraction_rate' end as alert, round(zero, 6) as zero_share from a, d, z""", "er")
 def M33_M34_health(v):
     """Extraction success, misses and alerts, each one aggregate."""
-    n = v.news.agg(F.countDistinct("item_id").alias("n"))
-    k = v.table("event_records", "item_id").join(v.news.select("item_id"), "item_id", "left_semi").agg(F.countDistinct("item_id").alias("k"))
-    z = v.er.agg((F.count(F.when(F.col("polarity") == 0, 1)) / F.count("*")).alias("zero"))
+    done = v.table("event_records", "item_id").distinct().withColumn("done", F.lit(1))
+    items = v.news.select("item_id").distinct().join(done, "item_id", "left").agg(F.count("*").alias("n"), F.count("done").alias("k"))
+    zero = v.er.agg(F.count(F.when(F.col("polarity") == 0, 1)) / F.count("*")).scalar()
     rate = F.col("k") / F.col("n")
-    return n.crossJoin(k).crossJoin(z).select(r6(rate, "success_rate"), r6(1 - rate, "miss_rate"), F.when(rate < 0.85, "low_extraction_rate").alias("alert"), r6("zero", "zero_share"))
+    return items.select(r6(rate, "success_rate"), r6(1 - rate, "miss_rate"), F.when(rate < 0.85, "low_extraction_rate").alias("alert"), r6(zero, "zero_share"))
 
 
 @query("select model_version, extraction_only, case when published_at < timestamp '2024-06-01' then 'pre' else 'post' end as part, count(*) as n, round(avg(polarity), 6) as mean from er group by 1, 2, 3", "er")
