@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 #: Common English function words, by kind.
 FUNCTION_WORDS = """
 the a an this that these those each every either neither some any no all both such same other another which what who
-whom whose whoever whatever i you he she it we they me him her us them my your his its our their mine yours hers ours
-theirs myself yourself himself herself itself ourselves themselves one oneself none nothing something anything
+whom whose i you he she it we they me him her us them my your his its our their mine
+itself themselves one oneself none nothing something anything
 of in to for on with at by from into onto upon over under between among through during before after against about
-within without toward towards across along behind beyond despite except since until till per via amid concerning
+within without towards despite except since until till per concerning
 regarding notwithstanding and or but nor so yet because although though while whereas if unless whether as than
-provided insofar inasmuch lest hence thus therefore thereby therein thereof hereby herein hereof whereby wherein
+provided insofar inasmuch hence thus therefore thereby therein thereof hereby herein hereof whereby wherein
 whereof moreover furthermore however nevertheless nonetheless conversely consequently accordingly otherwise likewise
-is are was were be been being am do does did doing done has have had having can could may might must shall should will
+is are was were be been being am do does did done has have had having can could may might must shall should will
 would ought not never ever only just even also too very much more most less least rather quite then there here now when
-where why how once again still already always often sometimes perhaps up down out off away back let well own
+where why how once again still already always often up down out off away back well own
 """.split()
 
 #: Frequent words of other languages that English does not use, to tell a foreign passage.
