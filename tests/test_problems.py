@@ -104,8 +104,8 @@ def _deliveries(spark, tmp_path, rows, files=1):
 
 
 def _check(spark, path, schema, rows, **kw):
-    out = dedup.keep_first(spark, path, schema, "id", "delivery_id", "at", **kw)
-    kept, dropped = dedup.settle(spark.createDataFrame([(r[0], r[1]) for r in rows], "key string, row_id bigint"), dedup.kept_rows(spark, out))
+    out = dedup.keep_first(spark, [dedup.Feed(path, schema, "id", "delivery_id", "at")], **kw)
+    kept, dropped = dedup.settle(spark.createDataFrame([(0, r[0], r[1]) for r in rows], "tag int, key string, row_id bigint"), dedup.kept_rows(spark, out))
     keep, drop = [r.row_id for r in kept.collect()], [r.row_id for r in dropped.collect()]
     by_id = {r[1]: r[0] for r in rows}
     named = [r for r in rows if r[0] is not None]
@@ -130,12 +130,25 @@ def test_a_restart_continues(spark, tmp_path):
     rows = [("a", 1, D(2024, 1, 1), ""), ("b", 2, D(2024, 1, 1), "")]
     path, schema = _deliveries(spark, tmp_path, rows)
     out, ck = f"file://{tmp_path}/out", f"file://{tmp_path}/ck"
-    dedup.keep_first(spark, path, schema, "id", "delivery_id", "at", out=out, checkpoint=ck)
+    dedup.keep_first(spark, [dedup.Feed(path, schema, "id", "delivery_id", "at")], out=out, checkpoint=ck)
     spark.createDataFrame([("a", 3, D(2024, 1, 2), ""), ("c", 4, D(2024, 1, 2), "")], "id string, delivery_id bigint, at timestamp, key string").write.mode("append").parquet(path)
-    dedup.keep_first(spark, path, schema, "id", "delivery_id", "at", out=out, checkpoint=ck)
+    dedup.keep_first(spark, [dedup.Feed(path, schema, "id", "delivery_id", "at")], out=out, checkpoint=ck)
     assert sorted(r.row_id for r in dedup.kept_rows(spark, out).collect()) == [1, 2, 4]
 
 
+def test_feeds_do_not_share_identifiers_or_row_numbers(spark, tmp_path):
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    feeds = []
+    for d in ("a", "b"):
+        path, schema = _deliveries(spark, tmp_path / d, [("m", 1, D(2024, 1, 1), ""), ("m", 2, D(2024, 1, 1), "")])
+        feeds.append(dedup.Feed(path, schema, "id", "delivery_id", "at"))
+    kept = dedup.kept_rows(spark, dedup.keep_first(spark, feeds))
+    assert sorted(r.tag for r in kept.collect()) == [0, 1]
+    rows = spark.createDataFrame([(t, "m", i) for t in (0, 1) for i in (1, 2)], "tag int, key string, row_id bigint")
+    keep, drop = dedup.settle(rows, kept)
+    assert keep.count() == 2 and drop.count() == 2
+
+
 def test_no_deliveries(spark, tmp_path):
     path, schema = _deliveries(spark, tmp_path, [])
     _check(spark, path, schema, [])

@@ -97,26 +97,28 @@ def p3_daily_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DELIVERED = (("rss_items", "item_id"), ("cryptopanic_posts", "post_id"))
 
 
-def _kept_and_dropped(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).select(key, "delivery_id", "ingested_at").schema
-    kept = dedup.kept_rows(spark, dedup.keep_first(spark, path, schema, key, "delivery_id", "ingested_at"))
-    rows = table(spark, sf_dir, name, key, "delivery_id").select(F.col(key).alias("key"), F.col("delivery_id").alias("row_id"))
-    return rows, *dedup.settle(rows, kept)
-
-
-def _named(rows: DataFrame, some: DataFrame, name: str) -> DataFrame:
+def _kept_and_dropped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (tag, tbl, key, row_id), and those kept and dropped."""
+    feeds, rows = [], []
+    for tag, (name, key) in enumerate(_DELIVERED):
+        path = f"{sf_dir}/{name}.parquet"
+        schema = spark.read.parquet(path).select(key, "delivery_id", "ingested_at").schema
+        feeds.append(dedup.Feed(path, schema, key, "delivery_id", "ingested_at"))
+        read = table(spark, sf_dir, name, key, "delivery_id")
+        rows.append(read.select(F.lit(tag).alias("tag"), F.lit(name).alias("tbl"), F.col(key).cast("string").alias("key"), F.col("delivery_id").alias("row_id")))
+    all_rows = rows[0].unionByName(rows[1])
+    return all_rows, *dedup.settle(all_rows, dedup.kept_rows(spark, dedup.keep_first(spark, feeds)))
+
+
+def _named(rows: DataFrame, some: DataFrame) -> DataFrame:
     """(tbl, id) of the rows picked by `some`."""
-    return rows.join(some.select("row_id"), "row_id", "left_semi").select(F.lit(name).alias("tbl"), F.col("key").cast("string").alias("id"))
+    return rows.join(some, ["tag", "row_id"], "left_semi").select("tbl", F.col("key").alias("id"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of which the stream dropped at least one copy."""
-    parts = []
-    for name, key in _DELIVERED:
-        rows, _, dropped = _kept_and_dropped(spark, sf_dir, name, key)
-        parts.append(_named(rows, dropped, name).distinct())
-    return parts[0].unionByName(parts[1])
+    rows, _, dropped = _kept_and_dropped(spark, sf_dir)
+    return _named(rows, dropped).distinct()
 
 
 P4_FOUND_SQL = """
@@ -127,11 +129,8 @@ union all select 'cryptopanic_posts', cast(post_id as varchar) from cryptopanic_
 
 def p4_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of each identifier, with how often it was kept (always once)."""
-    parts = []
-    for name, key in _DELIVERED:
-        rows, kept, _ = _kept_and_dropped(spark, sf_dir, name, key)
-        parts.append(_named(rows, kept, name).groupBy("tbl", "id").agg(F.count("*").alias("n_kept")))
-    return parts[0].unionByName(parts[1])
+    rows, kept, _ = _kept_and_dropped(spark, sf_dir)
+    return _named(rows, kept).groupBy("tbl", "id").agg(F.count("*").alias("n_kept"))
 
 
 P4_UNIQUE_SQL = """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.sources.scratch import fresh_path
@@ -14,19 +17,26 @@ def _as_glob(path: str) -> str:
     return path[:-1] + f"[{path[-1]}]"
 
 
-def digest(key: Column) -> Column:
+def digest(tag: Column, key: Column) -> Column:
     """128 bits of an identifier: what the state stores hold and the lookups compare, whatever its length."""
     text = key.cast("string")
-    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("|"), text, F.lit("second")).alias("h2"))
+    return F.struct(F.xxhash64(tag, text).alias("h1"), F.xxhash64(F.lit("|"), text, tag).alias("h2"))
+
+
+class Feed(NamedTuple):
+    """A table of deliveries: its path and schema, and its columns with the message's identifier, a number that is
+    unique to each row, and the time to judge lateness by."""
+
+    path: str
+    schema: T.StructType
+    key: str
+    row_id: str
+    event_time: str
 
 
 def keep_first(
     spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    key: str,
-    row_id: str,
-    event_time: str,
+    feeds: list[Feed],
     *,
     delay: str = "30 days",
     salts: int = 8,
@@ -34,7 +44,8 @@ def keep_first(
     checkpoint: str | None = None,
     max_bytes_per_trigger: int = 64 << 30,
 ) -> str:
-    """Streams `path`, keeps one row of each `key` and returns the folder with (key digest, row_id, event_time, batch).
+    """Streams the feeds, keeps one row of each identifier of each feed, and returns the folder with (tag, key digest,
+    row_id, event_time, batch); the tag is the feed's place in the list. Identifiers of different feeds differ.
 
     State: a keyed store of seen identifiers (RocksDB) that expires entries `delay` after their event time passes
     the watermark. It is checkpointed with the offsets; each micro-batch's output is a folder named by the batch, so
@@ -51,17 +62,20 @@ def keep_first(
     """
     out = out or fresh_path(spark, "kept")
     checkpoint = checkpoint or fresh_path(spark, "kept-checkpoint")
+    parts = []
+    for tag, feed in enumerate(feeds):
+        source = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(_as_glob(feed.path))
+        at = F.coalesce(F.col(feed.event_time).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+        named = source.where(F.col(feed.key).isNotNull())
+        parts.append(named.select(F.lit(tag).alias("tag"), digest(F.lit(tag), F.col(feed.key)).alias("key"), F.col(feed.row_id).alias("row_id"), at.alias("event_time")))
     stream = (
-        spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(_as_glob(path))
-        .select(F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.coalesce(F.col(event_time).cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("event_time"))
-        .where("key is not null")
-        .select(digest(F.col("key")).alias("key"), "row_id", "event_time")
+        reduce(DataFrame.unionByName, parts)
         .withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
         .withWatermark("event_time", delay)
         .dropDuplicatesWithinWatermark(["key", "salt"])
         .dropDuplicatesWithinWatermark(["key"])
-        .select("key", "row_id", "event_time")
-    )
+        .select("tag", "key", "row_id", "event_time")
+    )
     kept_schema = stream.schema
 
     def emit(batch: DataFrame, batch_id: int) -> None:
@@ -84,15 +98,14 @@ def keep_first(
 
 
 def kept_rows(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("key struct<h1: bigint, h2: bigint>, row_id bigint, event_time timestamp, batch bigint").parquet(out)
+    return spark.read.schema("tag int, key struct<h1: bigint, h2: bigint>, row_id bigint, event_time timestamp, batch bigint").parquet(out)
 
 
 def settle(rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) over all rows (key, row_id): `kept` with one row of each identifier that only came too late for
-    the watermark, and the rows that are copies of a kept one, both as (row_id, key digest). Together they are all
-    rows that have a key."""
-    rows = rows.where("key is not null").select("row_id", digest(F.col("key")).alias("key"))
-    rest = rows.join(kept.select("row_id"), "row_id", "left_anti")
-    unseen = rest.join(kept.select("key"), "key", "left_anti").groupBy("key").agg(F.min("row_id").alias("row_id"))
-    all_kept = kept.select("key", "row_id").unionByName(unseen.select("key", "row_id"))
-    return all_kept, rest.join(unseen.select("row_id"), "row_id", "left_anti")
+    """(kept, dropped) over all rows (tag, key, row_id): `kept` with one row of each identifier that only came too late
+    for the watermark, and the rows that are copies of a kept one, both as (tag, row_id). Together they are all rows that
+    have a key."""
+    rows = rows.where("key is not null").select("tag", "row_id", digest(F.col("tag"), F.col("key")).alias("key"))
+    rest = rows.join(kept.select("tag", "row_id"), ["tag", "row_id"], "left_anti")
+    unseen = rest.join(kept.select("key"), "key", "left_anti").groupBy("key").agg(F.min(F.struct("tag", "row_id")).alias("r")).select("r.tag", "r.row_id")
+    return kept.select("tag", "row_id").unionByName(unseen), rest.select("tag", "row_id").join(unseen, ["tag", "row_id"], "left_anti")
