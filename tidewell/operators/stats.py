@@ -186,6 +186,17 @@ def predict(rows: DataFrame, fit: DataFrame, by: list[str], features: list[str],
     return held.withColumn(out, score).drop("intercept", "beta")
 
 
+def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], target: str, out: str = "signal", rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
+    """`rows` with the prediction of gradient-boosted trees fitted on `train`; rows that lack a feature drop out."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    pack = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+    model = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol=out, maxIter=rounds, maxDepth=depth, seed=seed)
+    fitted = model.fit(pack.transform(train.dropna(subset=[*features, target])))
+    return fitted.transform(pack.transform(rows)).drop("_features")
+
+
 def position(signal: str, by: list[str], vol_target: float = 0.15) -> Column:
     """z-score (sample sd) of a signal clipped to +-2, scaled by vol / (2 sd of z); a constant signal has no position."""
     w = Window.partitionBy(*by)

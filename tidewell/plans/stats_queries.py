@@ -240,18 +240,21 @@ k as (select e.*, q.k, e.t0 + q.k * interval 1 hour as t1 from e, (values (1), (
 a as (select k.*, b.lp - a.lp as da, (mb.tot - b.lp - (ma.tot - a.lp)) / 4.0 as dm from k join px a on a.asset = k.asset and a.ts = k.t0 join px b on b.asset = k.asset and b.ts = k.t1 join mk ma on ma.ts = k.t0 join mk mb on mb.ts = k.t1)"""
 
 
-def _abnormal(v):
-    """Abnormal log return from an event's first bar over k bars, against the market without the asset."""
+def _abnormal(v, weeks=(0,)):
+    """Abnormal log return from an event's first bar over k bars, against the market without the asset. With
+    `weeks`, the same clock time so many weeks earlier as well."""
     px = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), F.log("close").alias("lp"))
     market = px.groupBy("ts").agg(F.sum("lp").alias("tot"), F.count("*").alias("n")).where("n = 5").drop("n")
     full = px.join(market, "ts")
     e = v.ev.select("item_id", "asset", "event_type", "confidence", "magnitude", "polarity", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("t0"))
-    k = e.withColumn("k", F.explode(F.array(F.lit(1), F.lit(6)))).withColumn("t1", F.timestamp_micros(F.unix_micros("t0") + F.col("k") * F.lit(pit.HOUR_US).cast("bigint")))
-    a = full.select("asset", F.col("ts").alias("t0"), F.col("lp").alias("la"), F.col("tot").alias("ta"))
-    b = full.select("asset", F.col("ts").alias("t1"), F.col("lp").alias("lb"), F.col("tot").alias("tb"))
-    j = k.join(a, ["asset", "t0"]).join(b, ["asset", "t1"])
+    k = e.withColumn("k", F.explode(F.array(F.lit(1), F.lit(6)))).withColumn("w", F.explode(F.array(*[F.lit(w) for w in weeks])))
+    hours = lambda n: n.cast("bigint") * F.lit(pit.HOUR_US)
+    k = k.withColumn("ta", F.timestamp_micros(F.unix_micros("t0") - hours(F.col("w") * 168))).withColumn("tb", F.timestamp_micros(F.unix_micros("ta") + hours(F.col("k"))))
+    a = full.select("asset", F.col("ts").alias("ta"), F.col("lp").alias("la"), F.col("tot").alias("ma"))
+    b = full.select("asset", F.col("ts").alias("tb"), F.col("lp").alias("lb"), F.col("tot").alias("mb"))
+    j = k.join(a, ["asset", "ta"]).join(b, ["asset", "tb"])
     da = F.col("lb") - F.col("la")
-    return j.withColumn("ar", da - (F.col("tb") - F.col("lb") - (F.col("ta") - F.col("la"))) / F.lit(4.0))
+    return j.withColumn("ar", da - (F.col("mb") - F.col("lb") - (F.col("ma") - F.col("la"))) / F.lit(4.0))
 
 
 @query(f"with {_AR} select item_id, asset, k, round(da - dm, 6) as ar from a", "ohlcv_h")
@@ -344,3 +347,29 @@ def J5_F12_align_and_fill(v):
     f = v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(F.avg("polarity").alias("x"))
     p = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close")
     return p.join(f, ["asset", "ts"], "left").select("asset", "ts", "close", r6("x"), r6(F.coalesce("x", F.lit(0.0)), "filled"))
+
+
+_PLACEBO = """px as (select asset, open_time as ts, ln(close) as lp from ohlcv_h), mk as (select ts, sum(lp) as tot from px group by 1 having count(*) = 5),
+e as (select item_id, asset, event_type, date_trunc('hour', published_at) + interval 1 hour as t0 from ev),
+k as (select e.*, q.k, p.w, e.t0 - p.w * interval 7 day as ta, e.t0 - p.w * interval 7 day + q.k * interval 1 hour as tb from e, (values (1), (6)) q(k), (values (0), (1), (2), (3), (4)) p(w)),
+a as (select k.item_id, k.event_type, k.k, k.w, k.t0, abs(b.lp - a.lp - (mb.tot - b.lp - (ma.tot - a.lp)) / 4.0) as x from k join px a on a.asset = k.asset and a.ts = k.ta join px b on b.asset = k.asset and b.ts = k.tb join mk ma on ma.ts = k.ta join mk mb on mb.ts = k.tb),
+g as (select item_id, event_type, k, date_trunc('day', any_value(t0)) as day, max(case when w = 0 then x end) - avg(case when w > 0 then x end) as x from a group by 1, 2, 3),
+d as (select event_type, k, day, avg(x) as m from g where x is not null group by 1, 2, 3)"""
+
+
+@query(f"with {_PLACEBO} select event_type, k, round(avg(m), 6) as mean, round(case when count(*) >= 10 and stddev_samp(m) > 0 then avg(m) / (stddev_samp(m) / sqrt(count(*))) end, 6) as t, count(*) as days from d group by 1, 2", "ohlcv_h")
+def M31_placebo_excess(v):
+    """Size of the abnormal return less its mean size at the same clock time one to four weeks earlier."""
+    a = _abnormal(v, (0, 1, 2, 3, 4)).withColumn("x", F.abs("ar"))
+    g = a.groupBy("item_id", "event_type", "k").agg(F.date_trunc("day", F.max("t0")).alias("day"), (F.max(F.when(F.col("w") == 0, F.col("x"))) - F.avg(F.when(F.col("w") > 0, F.col("x")))).alias("x"))
+    return stats.day_clustered(g, ["event_type", "k"], "day", "x").select("event_type", "k", r6("mean"), r6("t"), "days")
+
+
+@query(None)
+def M18_boosted_trees(v):
+    """Boosted trees as the second model, fitted on the bars before the split and scored after it."""
+    j = _joined(v).where("y1 is not null")
+    cut = F.lit(_SPLIT).cast("timestamp")
+    scored = stats.boosted_trees(j.where(F.col("ts") < cut), j.where(F.col("ts") >= cut), ["f1", "f2", "f3"], "y1")
+    pnl = scored.withColumn("pnl", stats.position("signal", ["asset"]) * F.col("y1"))
+    return pnl.groupBy("asset").agg(F.count("*").alias("n"), stats.sharpe("pnl").alias("sharpe"))
