@@ -1,19 +1,30 @@
 """Intermediate tables in the folder that all executors share.
 
 Iterative plans cut lineage by writing a table here: an executor that is lost afterwards costs nothing, because
-its rows are read from the shared folder again.
+its rows are read from the shared folder again. What a driver process wrote is removed when it ends; results read
+these tables lazily, so nothing can go earlier.
 """
 
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: list[str] = []
+
+
+def _remove_written(spark: SparkSession) -> None:
+    """Best effort: a driver that is killed leaves its folders, named so that they can be told apart."""
+    for path in _written:
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _local[app] = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, _local[app], True)
+        _written.append("file://" + _local[app])
     return "file://" + _local[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _written:
+        atexit.register(_remove_written, spark)
+    path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
