@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.functions.text import ALIASES
+from tidewell.sources.scratch import materialise
 
 #: Characters of a word; everything else separates.
 TOKEN_BREAK = r"[^\p{L}\p{N}_]+"
@@ -49,17 +50,17 @@ def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
     right = pool.where("ts is not null").select(F.col("id").alias("wid"), "asset", F.col("ts").alias("wts"), F.col("hash").alias("whash"), bucket.alias("b"))
     gap = F.unix_micros("ts") - F.unix_micros("wts")
     pairs = left.join(right, ["asset", "b"]).where((gap > 0) & (gap <= us) & (F.col("hash") != F.col("whash"))).select("id", "wid")
+    pairs = materialise(pairs, "novelty-pairs")  # read three times below
     words = lambda df, key: df.select(F.col("id").alias(key), F.explode(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: t != "")).alias("w")).groupBy(key, "w").agg(F.count("*").alias("tf"))
     own, other = words(events, "id"), words(pool, "wid")
     seen = pairs.join(other, "wid")
     size = pairs.groupBy("id").agg((F.count("*") + 1).alias("n"))
     mine = own.join(size, "id").select("id", "w", F.col("tf").alias("otf"), "n")
-    both = seen.join(mine.select("id", "w", "otf"), ["id", "w"], "left")
     df = seen.groupBy("id", "w").agg(F.count("*").alias("dfw"))
     idf = df.join(mine.select("id", "w", "otf"), ["id", "w"], "full").join(size, "id")
     idf = idf.select("id", "w", (F.log((1 + F.col("n")) / (1 + F.coalesce("dfw", F.lit(0)) + F.when(F.col("otf").isNotNull(), 1).otherwise(0))) + 1).alias("idf"), "otf")
     norm = idf.where("otf is not null").groupBy("id").agg(F.sqrt(F.sum((F.col("otf") * F.col("idf")) ** 2)).alias("na"))
-    weighed = both.drop("otf").join(idf, ["id", "w"])
+    weighed = seen.join(idf, ["id", "w"])  # idf has every word of the window and of the event itself
     per = weighed.groupBy("id", "wid").agg(F.sum(F.coalesce("otf", F.lit(0)) * F.col("tf") * F.col("idf") ** 2).alias("dot"), F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("nb"))
     best = per.join(norm, "id").groupBy("id").agg(F.max(F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
     out = F.when(F.col("sim").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sim"))))
