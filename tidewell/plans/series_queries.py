@@ -190,6 +190,23 @@ def W21_window_scans(v):
     return v.ohlcv_d.withColumn("k", F.explode(hits)).groupBy("k", "asset").agg(F.count("*").alias("n_rows"), r6(F.avg("close"), "mean_close")).withColumn("k", F.col("k").cast("bigint"))
 
 
+@query("""with e as (select cast(date_trunc('month', min(open_time)) as timestamp) as lo, max(open_time) as hi from ohlcv_d),
+i as (select lo, hi, unnest(generate_series(0, date_diff('month', lo, hi) // 3)) as k from e),
+s as (select k, hi, lo + to_months(cast(3 * k as integer)) as a, lo + to_months(cast(3 * k + 12 as integer)) as b, lo + to_months(cast(3 * k + 15 as integer)) as c from i),
+w as (select k, 'train' as part, a as lo, b as hi from s where b < hi union all select k, 'test', b, least(c, hi) from s where b < hi)
+select w.k, w.part, d.asset, count(*) as n_rows, round(avg(d.close), 6) as mean_close from ohlcv_d d join w on d.open_time >= w.lo and d.open_time <= w.hi group by 1, 2, 3""", "ohlcv_d")
+def W21_window_scans_whole(v):
+    """Rows of the training and the test span of every window from the table's first month to its last day, both
+    end days included."""
+    ends = v.ohlcv_d.agg(F.min("open_time").alias("lo"), F.max("open_time").alias("hi")).first()
+    windows = series.walk_forward_windows(ends.lo.date().replace(day=1), ends.hi.date()) if ends.lo else []
+    spans = [(k, part, a, b) for k, w in enumerate(windows) for part, a, b in (("train", w[0], w[2]), ("test", w[2], w[3]))]
+    hit = lambda a, b: (F.col("open_time") >= F.lit(str(a)).cast("timestamp")) & (F.col("open_time") <= F.lit(str(b)).cast("timestamp"))
+    hits = F.array_compact(F.array(*[F.when(hit(a, b), F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(part).alias("part"))) for k, part, a, b in spans]).cast("array<struct<k:bigint,part:string>>"))
+    d = v.ohlcv_d.withColumn("w", F.explode(hits)).select("w.k", "w.part", "asset", "close")
+    return d.groupBy("k", "part", "asset").agg(F.count("*").alias("n_rows"), r6(F.avg("close"), "mean_close"))
+
+
 @query(f"""with {_DENSE}, {_H}, y as (select asset, ts, lead(close, 1) over {_W[7:].replace('w as ', '')} / close - 1 as y from px),
 j as (select x.asset, x.ts, x.x, y.y from x join y on y.asset = x.asset and y.ts = x.ts where y is not null)
 select ts, round(arg_max(y, row(x, -ascii(right(asset, 1)))) - arg_min(y, row(x, ascii(right(asset, 1)))), 6) as spread from j group by ts having count(*) >= 4 and max(x) > min(x)""", "bars_h", "ohlcv_h")
