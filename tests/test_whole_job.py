@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidewell.plans import series_queries, stats_queries
 from tidewell.plans.fixtures import Views
 
 
@@ -23,3 +26,41 @@ def test_every_daily_bar_is_in_a_window(spark, small):
                         want[k, part, bar.asset] = want.get((k, part, bar.asset), 0) + 1
     assert {(r.k, r.part, r.asset): r.n_rows for r in got} == want
     assert max(k for k, _, _ in want) > 11
+
+
+class Bars:
+    """Hourly bars of ten weeks in place of the 30 days of the test tables."""
+
+    def __init__(self, spark):
+        rng = np.random.default_rng(3)
+        ts = pd.date_range("2024-01-01", periods=1680, freq="h")
+        self.closes = pd.DataFrame({a: 100 * np.exp(np.cumsum(rng.normal(0, 0.01, len(ts)))) for a in ("A0", "A1", "A2")}, index=ts)
+        long = self.closes.rename_axis("open_time").reset_index().melt("open_time", var_name="asset", value_name="close")
+        self.ohlcv_h = spark.createDataFrame(long)
+
+
+def _wanted_vol(close, h=6):
+    r2 = np.log(close).diff() ** 2
+    seas = r2.groupby(r2.index.dayofweek * 24 + r2.index.hour).transform(lambda s: s.shift().expanding(min_periods=4).mean())
+    d = r2 / seas
+    y = np.log((r2.rolling(h).sum().shift(-h) + 1e-12) / seas.rolling(h).sum().shift(-h))
+    return pd.DataFrame({"y": y, "x24": np.log(d.rolling(24).mean().shift(1) + 1e-12), "x168": np.log(d.rolling(168).mean().shift(1) + 1e-12)})
+
+
+def test_volatility_controls_of_a_day_and_a_week(spark):
+    bars = Bars(spark)
+    got = series_queries._vol_columns(series_queries.vol_frame(series_queries._px(bars)), 24, 168).toPandas()
+    resid = stats_queries.M24_M25_volatility_residual(bars).toPandas()
+    for a, close in bars.closes.items():
+        want = _wanted_vol(close)
+        g = got[got.asset == a].set_index("ts").sort_index()
+        assert want.x168.notna().sum() > 700
+        for c in want:
+            assert g[c].isna().equals(want[c].isna().rename_axis("ts")), c
+            assert np.allclose(g[c], want[c], atol=2e-6, equal_nan=True), c
+        m = want.dropna()
+        how = (m.index.dayofweek * 24 + m.index.hour).to_numpy()
+        X = np.column_stack([(how[:, None] == np.unique(how)).astype(float), m.x24, m.x168])
+        beta, *_ = np.linalg.lstsq(X, m.y.to_numpy(), rcond=None)
+        r = resid[resid.asset == a].set_index("ts").sort_index().resid
+        assert list(r.index) == list(m.index) and np.allclose(r, m.y - X @ beta, atol=2e-6)

@@ -101,16 +101,17 @@ def W9_J13_targets(v):
     return f.select("asset", "ts", r6("f", "ret"), r6(F.col("f") - F.avg("f").over(t), "excess"), r6(F.when(others > 0, (F.sum("f").over(t) - F.col("f")) / others), "loo_market"))
 
 
-_VOL = f"""{_H}, hours as (select asset, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from px group by asset),
+def _vol(short: int, long: int, least: int) -> str:
+    return f"""{_H}, hours as (select asset, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from px group by asset),
 d0 as (select h.asset, h.ts, px.close from hours h left join px on px.asset = h.asset and px.ts = h.ts),
 d1 as (select asset, ts, power(ln(close) - ln(lag(close) over {_W[7:].replace('w as ', '')}), 2) as r2, (isodow(ts) - 1) * 24 + hour(ts) as how from d0),
-d2 as (select *, case when count(r2) over s >= 2 then avg(r2) over s end as seas from d1 window s as (partition by asset, how order by ts rows between unbounded preceding and 1 preceding)),
+d2 as (select *, case when count(r2) over s >= {least} then avg(r2) over s end as seas from d1 window s as (partition by asset, how order by ts rows between unbounded preceding and 1 preceding)),
 d3 as (select *, r2 / nullif(seas, 0) as d from d2),
-vf as (select asset, ts, how, case when count(r2) over f = 6 then sum(r2) over f end as rv, case when count(seas) over f = 6 then sum(seas) over f end as sf, case when count(d) over b = 12 then avg(d) over b end as d12, case when count(d) over c = 24 then avg(d) over c end as d24 from d3
- window f as (partition by asset order by ts rows between 1 following and 6 following), b as (partition by asset order by ts rows between 12 preceding and 1 preceding), c as (partition by asset order by ts rows between 24 preceding and 1 preceding))"""
+vf as (select asset, ts, how, case when count(r2) over f = 6 then sum(r2) over f end as rv, case when count(seas) over f = 6 then sum(seas) over f end as sf, case when count(d) over b = {short} then avg(d) over b end as d{short}, case when count(d) over c = {long} then avg(d) over c end as d{long} from d3
+ window f as (partition by asset order by ts rows between 1 following and 6 following), b as (partition by asset order by ts rows between {short} preceding and 1 preceding), c as (partition by asset order by ts rows between {long} preceding and 1 preceding))"""
 
 
-def vol_frame(px, h: int = 6, short: int = 12, long: int = 24, least: int = 2):
+def vol_frame(px, h: int = 6, short: int = 24, long: int = 168, least: int = 4):
     """Seasonal-adjusted forward variance and trailing controls on a dense hourly clock."""
     ends = px.groupBy("asset").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     dense = ends.select("asset", F.explode(F.expr("sequence(lo, hi, interval 1 hour)")).alias("ts")).join(px, ["asset", "ts"], "left")
@@ -121,16 +122,26 @@ def vol_frame(px, h: int = 6, short: int = 12, long: int = 24, least: int = 2):
     d = d.withColumn("d", F.when(F.col("seas") != 0, F.col("r2") / F.col("seas")))
     return d.select(
         "asset", "ts", "how", "r2", "seas", series.forward_sum(F.col("r2"), h, w).alias("rv"), series.forward_sum(F.col("seas"), h, w).alias("sf"),
-        series.full_mean_before(F.col("d"), short, w).alias("d12"), series.full_mean_before(F.col("d"), long, w).alias("d24"),
+        series.full_mean_before(F.col("d"), short, w).alias(f"d{short}"), series.full_mean_before(F.col("d"), long, w).alias(f"d{long}"),
     )
 
 
-@query(f"with {_VOL} select asset, ts, round(ln((rv + 1e-12) / nullif(sf, 0)), 6) as y, round(ln(d12 + 1e-12), 6) as x12, round(ln(d24 + 1e-12), 6) as x24 from vf", "ohlcv_h")
+def _vol_columns(f, short: int, long: int):
+    eps = F.lit(1e-12)
+    y = F.log((F.col("rv") + eps) / F.when(F.col("sf") != 0, F.col("sf")))
+    return f.select("asset", "ts", r6(y, "y"), *[r6(F.log(F.col(f"d{n}") + eps), f"x{n}") for n in (short, long)])
+
+
+@query(f"with {_vol(12, 24, 2)} select asset, ts, round(ln((rv + 1e-12) / nullif(sf, 0)), 6) as y, round(ln(d12 + 1e-12), 6) as x12, round(ln(d24 + 1e-12), 6) as x24 from vf", "ohlcv_h")
 def W10_W12_M24_vol_frame(v):
     """Expanding same-hour-of-week profile, forward variance, trailing controls."""
-    f = vol_frame(_px(v))
-    eps = F.lit(1e-12)
-    return f.select("asset", "ts", r6(F.log((F.col("rv") + eps) / F.when(F.col("sf") != 0, F.col("sf"))), "y"), r6(F.log(F.col("d12") + eps), "x12"), r6(F.log(F.col("d24") + eps), "x24"))
+    return _vol_columns(vol_frame(_px(v), 6, 12, 24, 2), 12, 24)
+
+
+@query(f"with {_vol(24, 168, 4)} select asset, ts, round(ln((rv + 1e-12) / nullif(sf, 0)), 6) as y, round(ln(d24 + 1e-12), 6) as x24, round(ln(d168 + 1e-12), 6) as x168 from vf", "ohlcv_h")
+def W10_W12_M24_vol_frame_whole(v):
+    """The same with controls of a day and a week and a profile from four earlier weeks."""
+    return _vol_columns(vol_frame(_px(v)), 24, 168)
 
 
 @query("select item_id, asset, case when raw_tone is not null then rank() over (partition by asset, raw_tone is null order by raw_tone) + (count(*) over (partition by asset, raw_tone) - 1) / 2.0 end as r from ev", "ev")

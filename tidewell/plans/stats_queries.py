@@ -316,7 +316,7 @@ def M24_M25_volatility_residual(v):
     """Seasonal volatility frame followed by the regression with hour-of-week dummies."""
     f = vol_frame(v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close"))
     eps = F.lit(1e-12)
-    y = f.select("asset", "ts", "how", F.log((F.col("rv") + eps) / F.when(F.col("sf") != 0, F.col("sf"))).alias("y"), F.log(F.col("d12") + eps).alias("x1"), F.log(F.col("d24") + eps).alias("x2"))
+    y = f.select("asset", "ts", "how", F.log((F.col("rv") + eps) / F.when(F.col("sf") != 0, F.col("sf"))).alias("y"), F.log(F.col("d24") + eps).alias("x1"), F.log(F.col("d168") + eps).alias("x2"))
     return stats.fixed_effects_residual(y, ["asset"], ["asset", "how"], "y", "x1", "x2").select("asset", "ts", r6("resid"))
 
 
