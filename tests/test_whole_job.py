@@ -64,3 +64,14 @@ def test_volatility_controls_of_a_day_and_a_week(spark):
         beta, *_ = np.linalg.lstsq(X, m.y.to_numpy(), rcond=None)
         r = resid[resid.asset == a].set_index("ts").sort_index().resid
         assert list(r.index) == list(m.index) and np.allclose(r, m.y - X @ beta, atol=2e-6)
+
+
+def test_beta_of_720_rows(spark):
+    bars = Bars(spark)
+    got = series_queries.W8_trailing_beta_whole(bars).toPandas()
+    r = np.log(bars.closes).diff()
+    m = r.mean(axis=1)
+    want = r.rolling(720, min_periods=168).cov(m).div(m.rolling(720, min_periods=168).var(), axis=0).shift(1)
+    for a in want:
+        g = got[got.asset == a].set_index("ts").sort_index().beta
+        assert g.notna().sum() == 1680 - 169 and np.allclose(g, want[a], atol=2e-6, equal_nan=True)

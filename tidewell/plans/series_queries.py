@@ -91,6 +91,13 @@ def W8_trailing_beta(v):
     return series.trailing_beta(_returns(v), 240, 24).select("asset", "ts", r6("beta"))
 
 
+@query(f"""with {_R}, b as (select asset, ts, case when regr_count(r, m) over w >= 168 and count(m) over w >= 168 then covar_samp(r, m) over w / var_samp(m) over w end as b from rm window w as (partition by asset order by ts rows between 719 preceding and current row))
+select asset, ts, round(lag(b) over {_W[7:].replace('w as ', '')}, 6) as beta from b""", "ohlcv_h")
+def W8_trailing_beta_whole(v):
+    """The same over 720 rows, null before 168 of them have a return."""
+    return series.trailing_beta(_returns(v)).select("asset", "ts", r6("beta"))
+
+
 @query(f"""with {_H}, {_GRID}, f as (select asset, ts, lead(close, 6) over {_W[7:].replace('w as ', '')} / close - 1 as f from grid)
 select asset, ts, round(f, 6) as ret, round(f - avg(f) over (partition by ts), 6) as excess, round((sum(f) over (partition by ts) - f) / nullif(count(f) over (partition by ts) - 1, 0), 6) as loo_market from f""", "ohlcv_h")
 def W9_J13_targets(v):
