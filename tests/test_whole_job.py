@@ -75,3 +75,21 @@ def test_beta_of_720_rows(spark):
     for a in want:
         g = got[got.asset == a].set_index("ts").sort_index().beta
         assert g.notna().sum() == 1680 - 169 and np.allclose(g, want[a], atol=2e-6, equal_nan=True)
+
+
+def test_abnormal_return_before_and_after_an_event(spark):
+    """A jump of A0 ten minutes before its event and one after, on a market that moves with beta 1 (no history)."""
+    t = dt.datetime(2024, 1, 2, 10, 0, 30)
+    lp = {"A0": [(-720, 0.0), (-10, 0.2), (3, 0.5)], "A1": [(-720, 0.0), (-10, 0.1)], "A2": [(-720, 0.0), (50, 0.06)]}
+    rows = [(i, a, t + dt.timedelta(minutes=m), float(np.exp(x))) for i, (a, m, x) in enumerate((a, m, x) for a, ms in lp.items() for m, x in [*ms, (720, ms[-1][1])])]
+    ev = spark.createDataFrame(rows, "item_id long, asset string, published_at timestamp, raw double")
+    events = spark.createDataFrame([(99, "A0", t)], "item_id long, asset string, published_at timestamp")
+    returns = spark.createDataFrame([("A0", t.replace(minute=0, second=0), None, None)], "asset string, ts timestamp, r double, m double")
+    got = {r.k: (r.ar, r.raw_ar) for r in stats_queries.abnormal_minutes(events, stats_queries.minute_prices(ev), returns).collect()}
+    want = {-60: (0.15, 0.2), -15: (0.15, 0.2), -5: (0, 0), 1: (0, 0), 5: (0.3, 0.3), 15: (0.3, 0.3), 30: (0.3, 0.3), 60: (0.27, 0.3), 240: (0.27, 0.3)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_study_has_all_offsets_and_directions(spark, small):
+    got = entry.queries()["M30_M31_F8_day_clustered_whole"](spark, small).where("subset = 'all'").collect()
+    assert {(r.k, r.measure) for r in got} >= {(k, m) for k in (-60, -15, -5, 1, 5, 15, 30, 60, 240) for m in ("signed", "positive", "negative", "abs_excess", "raw_abs_excess")}

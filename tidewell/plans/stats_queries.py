@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidewell.functions.numeric import corr, ratio
 from tidewell.operators import pit, series, stats
 from tidewell.plans.fixtures import r6, registry
-from tidewell.plans.series_queries import vol_frame
+from tidewell.plans.series_queries import _R, _returns as _hourly_returns, vol_frame
 
 QUERIES, SQL, query = registry()
 
@@ -373,3 +373,91 @@ def M18_boosted_trees(v):
     scored = stats.boosted_trees(j.where(F.col("ts") < cut), j.where(F.col("ts") >= cut), ["f1", "f2", "f3"], "y1")
     pnl = scored.withColumn("pnl", stats.position("signal", ["asset"]) * F.col("y1"))
     return pnl.groupBy("asset").agg(F.count("*").alias("n"), stats.sharpe("pnl").alias("sharpe"))
+
+
+#: Offsets in minutes; those below zero are the drift before the event. An event has a direction from POLAR on.
+_OFFSETS, _WEEKS, _POLAR, _LEAST_EVENTS = (-60, -15, -5, 1, 5, 15, 30, 60, 240), (0, 1, 2, 3, 4), 0.3, 30
+_MINUTE_US = 60_000_000
+
+
+def minute_prices(ev):
+    """(asset, ts, lp, others): log price and mean log price of all other assets on one dense minute clock, stamped when
+    they are known and filled forward, from the first minute at which all assets have one (S5)."""
+    at = F.struct("published_at", "item_id")
+    m = ev.groupBy("asset", (F.date_trunc("minute", "published_at") + F.expr("interval 1 minute")).alias("ts")).agg(F.max_by(F.log("raw"), at).alias("lp"))
+    lo, hi = m.agg(F.min("ts")).scalar(), m.agg(F.max("ts")).scalar()
+    grid = m.select("asset").distinct().select("asset", F.explode(F.sequence(lo, hi, F.expr("interval 1 minute"))).alias("ts"))
+    filled = grid.join(m, ["asset", "ts"], "left").select("asset", "ts", series.forward_fill(F.col("lp"), series.by()).alias("lp"))
+    t = Window.partitionBy("ts")
+    full = filled.withColumns({"_s": F.sum("lp").over(t), "_c": F.count("lp").over(t), "_n": F.count("*").over(t)}).where("_c = _n")
+    return full.select("asset", "ts", "lp", ratio(F.col("_s") - F.col("lp"), F.col("_n") - 1).alias("others"))
+
+
+def abnormal_minutes(ev, prices, returns, offsets=_OFFSETS, weeks=(0,)):
+    """Abnormal log return of each event over (t0, t0 + k] minutes or, for k < 0, (t0 + k, t0], net of the
+    trailing beta known at its hour (1 where there is none) times the market without the asset; raw is without it. With
+    `weeks`, the same clock time so many weeks earlier as well, under the same beta."""
+    hour = F.expr("interval 1 hour")
+    beta = series.trailing_beta(returns).withColumn("_to", F.coalesce(F.lead("ts", 1).over(series.by()) - hour, F.col("ts") + hour))
+    beta = beta.select("asset", "beta", F.explode(F.sequence("ts", "_to", hour)).alias("hour"))
+    e = ev.withColumn("t0", F.date_trunc("minute", "published_at") + F.expr("interval 1 minute")).withColumn("hour", F.date_trunc("hour", "t0"))
+    e = e.join(beta, ["asset", "hour"], "left").drop("hour").withColumn("beta", F.coalesce("beta", F.lit(1.0)))
+    k = e.withColumn("k", F.explode(F.array(*map(F.lit, offsets)))).withColumn("w", F.explode(F.array(*map(F.lit, weeks))))
+    at = lambda n: F.timestamp_micros(F.unix_micros("t0") + (n.cast("bigint") - F.col("w") * F.lit(10_080)) * F.lit(_MINUTE_US))
+    k = k.withColumns({"ta": at(F.least("k", F.lit(0))), "tb": at(F.greatest("k", F.lit(0)))})
+    a = prices.select("asset", F.col("ts").alias("ta"), F.col("lp").alias("la"), F.col("others").alias("ma"))
+    b = prices.select("asset", F.col("ts").alias("tb"), F.col("lp").alias("lb"), F.col("others").alias("mb"))
+    j = k.join(a, ["asset", "ta"]).join(b, ["asset", "tb"]).withColumn("raw_ar", F.col("lb") - F.col("la"))
+    # Sums of the same prices in another order differ in the last bit; a market that stands still has moved by zero.
+    return j.withColumn("ar", F.col("raw_ar") - F.col("beta") * F.round(F.col("mb") - F.col("ma"), 12))
+
+
+_SHORT = f"""{_R}, b as (select asset, ts, case when regr_count(r, m) over w >= 168 and count(m) over w >= 168 then covar_samp(r, m) over w / var_samp(m) over w end as b from rm window w as (partition by asset order by ts rows between 719 preceding and current row)),
+bl as (select asset, ts, lag(b) over (partition by asset order by ts) as beta from b),
+mn as (select asset, date_trunc('minute', published_at) + interval 1 minute as ts, arg_max(ln(raw), row(published_at, item_id)) as lp from ev group by 1, 2),
+mg as (select a.asset, t.ts from (select distinct asset from mn) a cross join (select unnest(generate_series((select min(ts) from mn), (select max(ts) from mn), interval 1 minute)) as ts) t),
+mf as (select mg.asset, mg.ts, last_value(mn.lp ignore nulls) over (partition by mg.asset order by mg.ts rows unbounded preceding) as lp from mg left join mn on mn.asset = mg.asset and mn.ts = mg.ts),
+mt as (select asset, ts, lp, sum(lp) over o as tot, count(lp) over o as c, count(*) over o as n from mf window o as (partition by ts)),
+fp as (select asset, ts, lp, (tot - lp) / nullif(n - 1, 0) as others from mt where c = n),
+e as (select item_id, asset, event_type, confidence, magnitude, polarity, date_trunc('minute', published_at) + interval 1 minute as t0 from ev),
+eb as (select e.*, coalesce(bl.beta, 1.0) as beta from e asof left join bl on bl.asset = e.asset and date_trunc('hour', e.t0) >= bl.ts),
+k as (select eb.*, q.k, p.w, t0 - p.w * interval 7 day + least(q.k, 0) * interval 1 minute as ta, t0 - p.w * interval 7 day + greatest(q.k, 0) * interval 1 minute as tb from eb, (values {', '.join(f'({k})' for k in _OFFSETS)}) q(k), (values {', '.join(f'({w})' for w in _WEEKS)}) p(w)),
+ka as materialized (select k.*, p.lp as la, p.others as ma from k join fp p on p.asset = k.asset and p.ts = k.ta),
+a as (select ka.*, p.lp - la as raw_ar, p.lp - la - beta * round(p.others - ma, 12) as ar from ka join fp p on p.asset = ka.asset and p.ts = ka.tb)"""
+
+
+@query(f"with {_SHORT} select item_id, asset, k, round(ar, 6) as ar, round(raw_ar, 6) as raw_ar from a where w = 0", "ohlcv_h")
+def M29_J11_abnormal_return_whole(v):
+    """Abnormal returns at minute offsets before and after each event, with trailing beta."""
+    a = abnormal_minutes(v.ev.select("item_id", "asset", "published_at"), minute_prices(v.ev), _hourly_returns(v))
+    return a.select("item_id", "asset", "k", r6("ar"), r6("raw_ar"))
+
+
+_MEASURES = {
+    "signed": "case when abs(polarity) >= {p} then ar * sign(polarity) end", "positive": "case when polarity >= {p} then ar end", "negative": "case when polarity <= -{p} then ar end",
+    "abs_excess": "excess", "raw_abs_excess": "raw_excess",
+}
+_SUBSETS = "list_filter(['all', case when confidence >= 0.8 then 'high_conf' end, case when magnitude >= 0.6 then 'high_mag' end, case when event_type in ('hack', 'regulation', 'listing', 'depeg') then event_type end], lambda x: x is not null)"
+
+
+@query(f"""with {_SHORT}, g as (select item_id, asset, k, any_value(event_type) as event_type, any_value(confidence) as confidence, any_value(magnitude) as magnitude, any_value(polarity) as polarity, any_value(t0) as t0, max(case when w = 0 then ar end) as ar,
+ max(case when w = 0 then abs(ar) end) - avg(case when w > 0 then abs(ar) end) as excess, max(case when w = 0 then abs(raw_ar) end) - avg(case when w > 0 then abs(raw_ar) end) as raw_excess from a group by 1, 2, 3),
+s as (select *, unnest({_SUBSETS}) as subset from g), c as (select subset, count(*) as n from (select unnest({_SUBSETS}) as subset from e) group by 1 having count(*) >= {_LEAST_EVENTS}),
+x as ({' union all '.join(f"select subset, k, t0, '{m}' as measure, {x.format(p=_POLAR)} as x from s" for m, x in _MEASURES.items())}),
+d as (select subset, k, measure, date_trunc('day', t0) as day, avg(x) as m from x where x is not null group by 1, 2, 3, 4)
+select d.subset, k, measure, round(avg(m), 6) as mean, round(case when count(*) >= 10 and stddev_samp(m) > 0 then avg(m) / (stddev_samp(m) / sqrt(count(*))) end, 6) as t, count(*) as days, any_value(c.n) as n from d join c on c.subset = d.subset group by 1, 2, 3""", "ohlcv_h")
+def M30_M31_F8_day_clustered_whole(v):
+    """Signed, positive and negative means and the size beyond that of one to four weeks earlier, of
+    overlapping subsets of at least 30 events at all minute offsets, one vote a day."""
+    e = v.ev.select("item_id", "asset", "published_at", "event_type", "confidence", "magnitude", "polarity")
+    a = abnormal_minutes(e, minute_prices(v.ev), _hourly_returns(v), weeks=_WEEKS)
+    now, then = F.col("w") == 0, F.col("w") > 0
+    size = lambda c: F.max(F.when(now, F.abs(c))) - F.avg(F.when(then, F.abs(c)))
+    g = a.groupBy("item_id", "asset", "k").agg(
+        *[F.first(c).alias(c) for c in ("event_type", "confidence", "magnitude", "polarity", "t0")], F.max(F.when(now, F.col("ar"))).alias("ar"), size("ar").alias("excess"), size("raw_ar").alias("raw_excess")
+    )
+    subset = F.array_compact(F.array(F.lit("all"), F.when(F.col("confidence") >= 0.8, "high_conf"), F.when(F.col("magnitude") >= 0.6, "high_mag"), F.when(F.col("event_type").isin(*pit.FLAGS), F.col("event_type"))))
+    n = e.select(F.explode(subset).alias("subset")).groupBy("subset").agg(F.count("*").alias("n")).where(F.col("n") >= _LEAST_EVENTS)
+    x = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(c.format(p=_POLAR)).alias("x")) for m, c in _MEASURES.items()]))
+    s = g.withColumn("subset", F.explode(subset)).select("subset", "k", F.date_trunc("day", "t0").alias("day"), x.alias("m")).select("subset", "k", "day", "m.measure", "m.x")
+    return stats.day_clustered(s, ["subset", "k", "measure"], "day", "x").join(n, "subset").select("subset", "k", "measure", r6("mean"), r6("t"), "days", "n")
