@@ -93,3 +93,47 @@ def test_abnormal_return_before_and_after_an_event(spark):
 def test_study_has_all_offsets_and_directions(spark, small):
     got = entry.queries()["M30_M31_F8_day_clustered_whole"](spark, small).where("subset = 'all'").collect()
     assert {(r.k, r.measure) for r in got} >= {(k, m) for k in (-60, -15, -5, 1, 5, 15, 30, 60, 240) for m in ("signed", "positive", "negative", "abs_excess", "raw_abs_excess")}
+
+
+def _nw(z, lag):
+    n, d = len(z), z - z.mean()
+    if n < 30:
+        return np.nan
+    L = min(lag, n // 4)
+    s = d @ d / n + sum(2 * (1 - i / (L + 1)) * (d[i:] @ d[:-i]) / n for i in range(1, L + 1))
+    return z.mean() / np.sqrt(s / n) if s > 0 else np.nan
+
+
+def test_grid_of_all_dimensions(spark):
+    d = "/root/testdata/sf0.01"
+    got = entry.queries()["M4_M7_newey_west_grid_whole"](spark, d).toPandas().set_index(["cadence", "feature", "h", "period", "ic_type", "scope", "asset"])
+    v = Views(spark, d)
+    close = v.ohlcv_h.select("asset", "open_time", "close").toPandas().pivot(index="open_time", columns="asset", values="close").sort_index()
+    ev = v.ev.select("asset", "published_at").toPandas()
+    f3 = ev.groupby([ev.published_at.dt.floor("h") + pd.Timedelta(hours=1), "asset"]).size().astype(float).unstack()  # whole numbers, so ties are the same everywhere
+    split, found = pd.Timestamp("2024-01-15"), 0
+    day = f3.groupby(f3.index.floor("D")).sum(min_count=1)
+    day.index += pd.Timedelta(days=1)
+    for cadence, x, c, bar in (("1h", f3, close, 1), ("1d", day, close[close.index.hour == 0], 24)):
+        for h in (h for h in (1, 4, 12, 24, 48, 72, 120) if h % bar == 0):
+            y = c.shift(-h // bar) / c - 1
+            for period, keep in (("full", y.index == y.index), ("early", y.index < split), ("late", y.index >= split)):
+                yp = y[keep]
+                xp = x.reindex(yp.index)
+                for kind in ("pearson", "spearman"):
+                    prods = {}
+                    for a in yp:
+                        m = pd.concat([xp[a], yp[a]], axis=1, keys="xy").dropna()
+                        m = m.rank() if kind == "spearman" else m
+                        if len(m) >= 30 and (m.std(ddof=0) > 1e-12).all():
+                            z = (m - m.mean()) / m.std(ddof=0)
+                            prods[a] = z.x * z.y
+                    cases = [("ts_asset", a, z) for a, z in prods.items()]
+                    if prods:
+                        cases.append(("ts_all", "ALL", pd.concat(prods.values(), axis=1).mean(axis=1)))
+                    for scope, a, z in cases:
+                        r = got.loc[(cadence, "f3", h, period, kind, scope, a)]
+                        assert r.n == len(z) and np.allclose([r.ic, r.t], [z.mean(), _nw(z.to_numpy(), h // bar - 1)], atol=1e-5, equal_nan=True)
+                        found += 1
+    assert found == len(got.query("feature == 'f3' and scope != 'cs_pooled'")) > 0
+    assert {h for _, _, h, *_ in got.index} == {1, 4, 12, 24, 48, 72, 120} and "cs_pooled" in got.index.get_level_values("scope")

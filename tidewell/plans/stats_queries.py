@@ -461,3 +461,45 @@ def M30_M31_F8_day_clustered_whole(v):
     x = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(c.format(p=_POLAR)).alias("x")) for m, c in _MEASURES.items()]))
     s = g.withColumn("subset", F.explode(subset)).select("subset", "k", F.date_trunc("day", "t0").alias("day"), x.alias("m")).select("subset", "k", "day", "m.measure", "m.x")
     return stats.day_clustered(s, ["subset", "k", "measure"], "day", "x").join(n, "subset").select("subset", "k", "measure", r6("mean"), r6("t"), "days", "n")
+
+
+_HORIZONS = (1, 4, 12, 24, 48, 72, 120)
+
+
+def _cadence(v, cadence: str):
+    """(asset, ts, feature, x, h, y, lag): features beside forward returns over all horizons, in rows of a clock common to
+    all assets; daily ones are known at the midnight after their day, and their prices are those of midnight."""
+    f = v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(
+        F.sum("polarity").alias("f1"), F.avg("magnitude").alias("f2"), F.count("*").cast("double").alias("f3")
+    )
+    px, bar = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close"), 1
+    if cadence == "1d":
+        bar, px = 24, px.where(F.hour("ts") == 0)
+        f = f.groupBy("asset", (F.date_trunc("day", "ts") + F.expr("interval 24 hours")).alias("ts")).agg(F.sum("f1").alias("f1"), F.avg("f2").alias("f2"), F.sum("f3").alias("f3"))
+    w = series.by()
+    y = F.array(*[F.struct(F.lit(h).alias("h"), series.forward_return(F.col("close"), h // bar, w).alias("y"), F.lit(h // bar - 1).alias("lag")) for h in _HORIZONS if h % bar == 0])
+    ret = series.union_grid(px).select("asset", "ts", y.alias("g"))
+    long = stats.unpivot(f.join(ret, ["asset", "ts"]), ["asset", "ts", "g"], ["f1", "f2", "f3"])
+    return long.select("asset", "ts", "feature", "x", F.inline("g")).withColumn("cadence", F.lit(cadence))
+
+
+@query(None)
+def M4_M7_newey_west_grid_whole(v):
+    """M3 M4 M5 M7 M8: cadence x feature x horizon x period x type x scope, with Newey-West t of as many lags as a return
+    spans further bars."""
+    era = F.when(F.col("ts") >= F.lit(_SPLIT).cast("timestamp"), "late").otherwise("early")
+    g = _cadence(v, "1h").unionByName(_cadence(v, "1d")).where("x is not null and y is not null")
+    g = g.withColumn("period", F.explode(F.array(F.lit("full"), era)))
+    cell = ["cadence", "feature", "h", "lag", "period", "ic_type"]
+    tested = []
+    for kind, rank in (("pearson", False), ("spearman", True)):
+        p = g.withColumn("ic_type", F.lit(kind))
+        z = stats.ic_products(p, [*cell, "asset"], rank=rank).select(*cell, "ts", "asset", "z")
+        pooled = z.groupBy(*cell, "ts").agg(F.avg("z").alias("z"))
+        cross = stats.cross_sectional_ic(p, "ts", "x", "y", rank, tuple(cell)).withColumnRenamed("ic", "z")
+        tested += [t.select(*cell, F.lit(scope).alias("scope"), a.alias("asset"), "ts", "z") for t, scope, a in ((z, "ts_asset", F.col("asset")), (pooled, "ts_all", F.lit("ALL")), (cross, "cs_pooled", F.lit("ALL")))]
+    rows = tested[0]
+    for t in tested[1:]:
+        rows = rows.unionByName(t)
+    out = stats.newey_west(rows, [*cell, "scope", "asset"], "ts", "z", "lag").where("scope <> 'cs_pooled' or n >= 30")
+    return out.select("cadence", "feature", "h", "period", "ic_type", "scope", "asset", "n", r6("mean", "ic"), r6("t"))
