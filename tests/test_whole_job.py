@@ -137,3 +137,13 @@ def test_grid_of_all_dimensions(spark):
                         found += 1
     assert found == len(got.query("feature == 'f3' and scope != 'cs_pooled'")) > 0
     assert {h for _, _, h, *_ in got.index} == {1, 4, 12, 24, 48, 72, 120} and "cs_pooled" in got.index.get_level_values("scope")
+
+
+def test_replicates_rounds_and_lags(spark, small):
+    import inspect
+
+    from tidewell.operators import stats
+
+    assert {r.n for r in entry.queries()["M14_bootstrap_interval"](spark, small).collect()} == {500}
+    assert inspect.signature(stats.boosted_trees).parameters["rounds"].default == 100
+    assert {r.lag for r in entry.queries()["W15_W16_autocorrelation_whole"](spark, small).collect()} == {1, 2, 3, 4, 5}

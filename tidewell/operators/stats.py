@@ -186,7 +186,7 @@ def predict(rows: DataFrame, fit: DataFrame, by: list[str], features: list[str],
     return held.withColumn(out, score).drop("intercept", "beta")
 
 
-def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], target: str, out: str = "signal", rounds: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
+def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], target: str, out: str = "signal", rounds: int = 100, depth: int = 3, seed: int = 7) -> DataFrame:
     """`rows` with the prediction of gradient-boosted trees fitted on `train`; rows that lack a feature drop out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

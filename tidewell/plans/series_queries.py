@@ -179,6 +179,12 @@ def W15_W16_autocorrelation(v):
     return series.autocorrelation(_hourly_x(v), "asset", "ts", "x", 3).select("asset", "lag", r6("acf"), "n")
 
 
+@query(f"with {_DENSE}, l as (select asset, x, unnest([1, 2, 3, 4, 5]) as lag, unnest([lag(x, 1) over w, lag(x, 2) over w, lag(x, 3) over w, lag(x, 4) over w, lag(x, 5) over w]) as y from x {_W}) select asset, lag, round(corr(x, y), 6) as acf, count(*) as n from l where x is not null and y is not null group by 1, 2", "bars_h")
+def W15_W16_autocorrelation_whole(v):
+    """The same up to lag 5."""
+    return series.autocorrelation(_hourly_x(v), "asset", "ts", "x", 5).select("asset", "lag", r6("acf"), "n")
+
+
 @query(f"with {_H}, {_GRID} select asset, ts, last_value(close ignore nulls) over (partition by asset order by ts rows unbounded preceding) as close from grid", "ohlcv_h")
 def W17_forward_fill(v):
     return _grid(v).select("asset", "ts", series.forward_fill(F.col("close"), series.by()).alias("close"))

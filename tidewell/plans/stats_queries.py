@@ -167,7 +167,7 @@ def M13_M17_performance(v):
 @query(None)
 def M14_bootstrap_interval(v):
     """Seeded stationary bootstrap of the Sharpe ratio (random, so no SQL form)."""
-    return stats.bootstrap_sharpe(_returns(v), ["asset"], "ts", "r", 100, per_year=365.0)
+    return stats.bootstrap_sharpe(_returns(v), ["asset"], "ts", "r", 500, per_year=365.0)
 
 
 @query(None)
