@@ -1,6 +1,7 @@
 """Text operators against brute force, exact round trips and held-out accuracy, with awkward inputs."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -97,17 +98,63 @@ def test_leaks_of_nothing(spark):
     assert _leaks(spark, [PROMPT, PROMPT], prompts=[(1, PROMPT), (2, PROMPT)]) == {(0, 1), (0, 2), (1, 1), (1, 2)}
 
 
-def test_recall_near_the_items():
-    rng = np.random.default_rng(3)
-    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 40))) for i in range(60)]
+def _edited(rng, window, kind, n, known):
+    w = list(window)
+    for p in sorted(rng.sample(range(len(w)), n), reverse=True):
+        if kind == "insertion":
+            w.insert(p, rng.choice(known))
+        elif kind == "deletion":
+            del w[p]
+        else:
+            w[p] = 0 if kind == "unknown word" else rng.choice(known)
+    return (w + rng.choices(known, k=n))[: len(window)]
+
+
+def test_recall_near_the_items(small, duck):
+    """Windows of the real items after edits of every kind, against the exact distance."""
+    items = duck.execute("select eval_id, prompt from eval_items").fetchall()
+    rng = random.Random(3)
+    for n in range(3):
+        index = leakage.ItemIndex(items, max_edits=n)
+        known = range(1, len(index.vocabulary) + 1)
+        # A word put in or taken out moves another over the end of the window: two edits.
+        for kind, edits in (("unknown word", n), ("known word", n), ("insertion", n // 2), ("deletion", n // 2)):
+            edited = [_edited(rng, rng.choice(index.rows), kind, edits, known) for _ in range(250)]
+            ids = np.array(edited, np.int32).ravel()
+            found = {s // 12 for s, _, _ in index.search(ids, np.arange(250) * 12)}
+            near = [i for i, w in enumerate(edited) if n == 0 or (leakage.edit_distances(np.tile(np.array(w, np.int32), (len(index.rows), 1)), index.rows, n) <= n).any()]
+            assert found <= set(near)
+            assert len(found) >= (1 if n == 0 else 0.95) * len(near), (kind, n, len(found), len(near))
+            assert len(near) > 240
+
+
+def test_cost_does_not_hang_on_the_vocabulary():
+    """Every window of a text of the items' own words is walked, and the walks find what brute force finds."""
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(200)]
+    items = [(i, " ".join(rng.choices(common, k=40))) for i in range(240)]
     index = leakage.ItemIndex(items)
-    hits = np.zeros(3)
-    for edits in range(3):
-        for _ in range(200):
-            w = index.distinct[rng.integers(len(index.distinct))].copy()
-            w[rng.choice(12, edits, replace=False)] = 0
-            hits[edits] += bool(index.search(w, np.array([0]), 2))
-    assert hits[0] == 200 and hits[1] >= 190 and hits[2] >= 160
+    text = " ".join([*rng.choices(common, k=400_000), items[7][1], *rng.choices(common, k=50), " ".join(items[9][1].split()[5:18])])
+    ids = np.array([index.vocabulary[w] for w in leakage.words(text)], np.int32)
+    start = time.process_time()
+    found = index.search(ids, np.arange(len(ids) - 11))
+    assert time.process_time() - start < 5
+    assert {o for _, w, _ in found for o in index.owners[w]} == {7, 9} and len(found) == 29 + 2
+
+
+def test_items_beyond_one_pass(spark, monkeypatch):
+    prompts = [(i, f"{PROMPT} number {i}") for i in range(20)]
+    texts = [f"Text {p} ends" for _, p in prompts]
+    one = _leaks(spark, texts, prompts)
+    monkeypatch.setattr(leakage, "ITEMS_A_PASS", 6)
+    assert _leaks(spark, texts, prompts) == one and len(one) == 400
+
+
+@pytest.mark.parametrize("text", ["<" + " " * 100_000, "<!--" * 30_000, "&#" + "9" * 100_000 + ";", "<b" * 50_000, "&" * 100_000, "<" * 100_000, "x" * 300_000, " " * 300_000, "<!--" + "<b>" * 50_000 + "-->"])
+def test_words_of_long_runs(text):
+    start = time.process_time()
+    leakage.words(text)
+    assert time.process_time() - start < 0.5
 
 
 def test_edit_distances():
