@@ -293,6 +293,26 @@ def test_cut_texts(spark):
     assert truncation.cut_texts(df.limit(0)).count() == 0
 
 
+def test_values_that_are_prefixes_of_longer_copies(spark):
+    """The join of whole values decides first; a text that stands whole elsewhere is no case."""
+    long = "Quarterly filings by Zephyr Notes listed seventeen unusual counterparties across several venues."
+    rows = [
+        (1, long, None), (2, long[:52].rstrip(), None), (3, long[:47], None), (4, long, None), (5, "Oddly named vaults closed", "A title"), (6, "Oddly named vaults closed early today", None),
+        (7, "Something else entirely", "Oddly named vaults closed"),
+    ]
+    df = spark.createDataFrame([("t", *r) for r in rows], "tbl string, id bigint, text string, title string")
+    got = {r.id: r.rule for r in truncation.cut_texts(df).collect()}
+    assert got[2].startswith("value") and got[3].startswith("value") and not {1, 4, 5} & set(got)
+
+
+@pytest.mark.parametrize("text", [" " * 200_000 + "x", "x" + " " * 200_000 + "(more", "." * 100_000 + "x", "a read more" + " " * 100_000 + "x", "(" * 100_000 + ")", "[" + " more" * 50_000 + "x", "&#" + "9" * 100_000 + "; x", "<" * 100_000, "🚀 " * 100_000, "…" * 100_000])
+def test_endings_of_long_runs(text):
+    start = time.process_time()
+    truncation.ending(text)
+    truncation.stops(text)
+    assert time.process_time() - start < 0.5
+
+
 @pytest.mark.parametrize("text,tail,sign", [
     ("It rose to…", "It rose to", True), ("It rose to [&#8230;]", "It rose to", True), ("It rose <a h", "It rose", True), ("It rose &am", "It rose", True), ("It rose. 🚀🚀", "It rose.", False),
     ("It rose. https://a.example/x", "It rose.", False), ("It rose… (more)", "It rose", True), ("It rose... Continue reading", "It rose", True), ("It rose. (By the desk)", "It rose.", False), ("", "", False), ("<b>It</b> rose", "It rose", False),

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each table and source_domain: rows, cut rows and their share."""
     rows = _feed_texts(spark, sf_dir)
-    cut = truncation.cut_texts(rows).withColumn("cut", F.lit(1))
+    cut = truncation.cut_texts(rows).select("tbl", "id", F.lit(1).alias("cut"))
     joined = rows.select("tbl", "id", "source_domain").join(cut, ["tbl", "id"], "left")
     out = joined.groupBy("tbl", "source_domain").agg(F.count("*").alias("n_rows"), F.count("cut").alias("n_cut"))
     return out.withColumn("cut_share", F.col("n_cut") / F.col("n_rows"))
