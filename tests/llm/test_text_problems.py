@@ -241,6 +241,84 @@ def test_hot_copies_and_crowded_regions(spark, monkeypatch):
     assert members.where("id like 'hot-%'").select("cls").distinct().count() == 1 and members.count() == len(rows)
 
 
+def _told(rows, depth):
+    """Pairs of ids that the rows of a reader give, edges and crowded leaves met with all of their own."""
+    pairs, met = set(), defaultdict(set)
+    for kind, key, more, a, b in rows:
+        if kind == neardup._Reader.PAIR:
+            pairs.add((a, b))
+        elif kind in (neardup._Reader.EDGE, neardup._Reader.LEAF):
+            met[kind, key, more].add(a)
+    return pairs | {(a, b) for g in met.values() for a in g for b in g if a < b}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 2), st.integers(1, 400), st.integers(1, 50))
+def test_sorted_orders_against_brute_force(seed, numbers, n, size):
+    """Neighbours with a common prefix, whatever the batches and wherever a partition begins."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    depth = 4 if numbers == 1 else 6
+    values = rng.integers(0, 2, (n, 5 * numbers))  # few values: regions of every size and depth
+    keys = [sum(values[:, 5 * k + d].astype(np.int64) << (neardup.VALUE_BITS * (4 - d)) for d in range(5)) for k in range(numbers)]
+    order = np.lexsort(tuple(reversed(keys)))
+    cut = int(rng.integers(0, n + 1))
+    rows = []
+    for part in (order[:cut], order[cut:]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[part[lo : lo + size]]) for c in (*keys, np.arange(n))], names=["key", "more", "id"][:numbers] + ["id"]) for lo in range(0, len(part), size)]
+        for out in neardup._read_sorted(iter(batches), numbers, depth):
+            rows += list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    told = _told(rows, depth)
+    groups = lambda d: [g for _, g in _grouped(values[:, :d])]
+    common = {(int(a), int(b)) for g in groups(depth) for a in g for b in g if a < b}
+    assert told <= common
+    assert {(int(a), int(b)) for d in range(depth, 5 * numbers + 1) for g in groups(d) if len(g) <= neardup.CROWD for a in g for b in g if a < b} <= told
+    crowded = {int(i) for g in groups(depth) if len(g) > neardup.CROWD for i in g}
+    assert {r[3] for r in rows if r[0] == neardup._Reader.CROWDED} | {r[3] for r in rows if r[0] == neardup._Reader.EDGE} >= crowded
+
+
+def _grouped(values):
+    found = defaultdict(list)
+    for i, v in enumerate(map(tuple, values)):
+        found[v].append(i)
+    return found.items()
+
+
+def test_short_shingles_lose_nothing():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400, 20_000):
+        common = rng.integers(0, 1 << 63, n)
+        a, b = (np.concatenate([common, rng.integers(0, 1 << 63, n // 2)]) for _ in range(2))  # exactly half in common
+        pack = lambda x: np.unique((x & 0xFFFF).astype(np.uint16)).tobytes()
+        assert neardup.may_be_alike([pack(a)] * 3, [pack(b)] * 3, 0.5).all()
+    assert not neardup.may_be_alike([pack(np.arange(100))], [pack(np.arange(1000, 1100))], 0.5).any()
+
+
+def test_crowded_parts_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = [(1, 2, i) for i in range(60)] + [(1, 3, i) for i in range(5)] + [(9, 9, 1)]
+    got = [tuple(r) for r in neardup._in_blocks(spark.createDataFrame(rows, "key bigint, more bigint, id bigint")).collect()]
+    assert set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60)} and len(got) == 60 * 59 // 2 + 10
+
+
+def test_one_story_in_hundreds_of_versions(spark):
+    """A crowded region with the real settings: recall by similarity against brute force."""
+    rng = random.Random(11)
+    base = [f"v{k}" for k in range(150)]
+    rows = []
+    for j in range(220):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((f"crowd-{j:03d}", " ".join(w)))
+    df = spark.createDataFrame([(i, t, t) for i, t in rows], "id string, text string, body string")
+    got = {tuple(r) for r in neardup.duplicate_id_pairs(df, 3, 0.5, 45).collect()}
+    want, near = _brute(rows, 3, 0.5, 45), _brute(rows, 3, 0.6, 45)
+    assert got <= want and len(want) > 10_000
+    assert len(got) >= 0.95 * len(want) and len(got & near) >= 0.99 * len(near), (len(got) / len(want), len(got & near) / len(near))
+
+
 def test_short_and_no_texts(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", "word " * 44), ("d", "word " * 44)], "id string, text string").withColumn("body", F.col("text"))
     assert neardup.duplicate_id_pairs(df, 3, 0.5, 45).count() == 0

@@ -188,22 +188,46 @@ def _stem_key(prefix: str) -> int:
     return xxhash.xxh64_intdigest("s:" + prefix)
 
 
+def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, list[str], bool, int]]]:
+    """(text, words, whole, words that it begins with like its neighbours in the order) of sorted rows, batch by batch.
+    The first and the last row of a partition have neighbours elsewhere: all their words count."""
+    text, raws, whole, back = None, None, None, None
+    for batch in batches:
+        out = []
+        for t, is_whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ws = clean(t).split()
+            if not ws:
+                continue
+            if raws is None:
+                text, raws, whole, back = t, ws, is_whole, len(ws)
+                continue
+            shared = 0
+            for x, y in zip(raws, ws, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            out.append((text, raws, whole, max(back, shared)))
+            text, raws, whole, back = t, ws, is_whole, shared
+        yield out
+    if raws is not None:
+        yield [(text, raws, whole, len(raws))]
+
+
 def evidence(texts: DataFrame) -> DataFrame:
     """(key, went_on, ended, trailed) over all texts (columns text, whole): how often each hashed context went on,
     ended its sentence, or trailed off at the end of a text. The end of a text without a stop speaks only if `whole`
-    is true (a headline). Counts are combined inside each batch before anything is shuffled."""
+    is true (a headline). Counts are combined inside each batch before anything is shuffled.
+
+    The texts (distinct ones) are sorted, so those with a common beginning stand side by side: only the prefixes that a
+    text shares with a neighbour go into the join of values, as nobody can ask for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, known = _Tokens(), set()
-        for batch in batches:
-            whole = batch.column(1).to_pylist()
+        for some in _with_neighbours(batches):
             infos, lengths, flags, places, stems, spoken = [], [], [], [], [], []
             if len(known) > 500_000:
                 known.clear()
-            for text, is_whole in zip(batch.column(0).to_pylist(), whole, strict=True):
-                raws = clean(text).split()
-                if not raws:
-                    continue
+            for text, raws, is_whole, shared in some:
                 info = [memory[r] for r in raws]
                 ends = [i[2] for i in info]
                 flag = [2 if e else 1 for e in ends]  # 1 went on, 2 ended, 3 trailed off, 0 says nothing
@@ -215,6 +239,7 @@ def evidence(texts: DataFrame) -> DataFrame:
                 # without a stop do not, so a text never speaks for itself.
                 said = len(ending(text)[0].split())
                 said = len(info) if flag[-1] == 2 else said if said and info[said - 1][2] else said - 1
+                said = min(said, shared + 2)  # longer prefixes are its own; a decoration may hide that one more is shared
                 spoken += [0 < k < said for k in range(len(info))]
                 flags += flag
                 places.append(_places(ends))
@@ -239,7 +264,8 @@ def evidence(texts: DataFrame) -> DataFrame:
             counts = [np.bincount(inverse[all_flags[told] == k], minlength=len(u)) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *[pa.array(c) for c in counts]], names=["key", "a", "b", "c"])
 
-    seen = texts.select("text", "whole").mapInArrow(run, "key bigint, a bigint, b bigint, c bigint")
+    ordered = texts.select("text", "whole").repartitionByRange("text", "whole").sortWithinPartitions("text", "whole")
+    seen = ordered.mapInArrow(run, "key bigint, a bigint, b bigint, c bigint")
     return seen.groupBy("key").agg(F.sum("a").alias("went_on"), F.sum("b").alias("ended"), F.sum("c").alias("trailed"))
 
 
