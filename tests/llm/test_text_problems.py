@@ -409,8 +409,8 @@ def test_held_out_accuracy(small, duck):
         model = reading.train([r for i, r in enumerate(rows) if i % 5 != k])
         memory = reading._Words(model)
         for t, level in (r for i, r in enumerate(rows) if i % 5 == k):
-            score = reading.rate(model, memory, t)
-            right += score[1] is not None and reading.LEVELS[min(2, int(score[1] + 0.5))] == level
+            level_of = reading.rate(model, memory, t).level
+            right += level_of is not None and reading.LEVELS[min(2, int(level_of + 0.5))] == level
     assert right >= 0.97 * len(rows)
 
 
@@ -422,15 +422,30 @@ def test_layout_case_and_punctuation_do_not_matter(small, duck):
     for t, level in rows:
         bare = "".join(c if c.isalnum() or c in "'’ \n" else " " for c in t)
         for v in (t, t.upper(), bare, "\n".join(t.split(" ")), t + foreign):
-            assert reading.LEVELS[min(2, int(reading.rate(model, memory, v)[1] + 0.5))] == level
+            assert reading.LEVELS[min(2, int(reading.rate(model, memory, v).level + 0.5))] == level
+
+
+def test_short_texts_have_a_level_that_is_less_sure(small, duck):
+    """The first words of the samples: every text gets a level; the more words, the more often the right one."""
+    rows = duck.execute("select text, level from reading_samples order by sample_id").fetchall()
+    model = reading.train(rows)
+    memory = reading._Words(model)
+    right = {}
+    for n in (1, 3, 10, 19, 40):
+        rated = [(reading.rate(model, memory, " ".join(reading.tokens(t)[:n])), level) for t, level in rows]
+        assert all(r.level is not None for r, _ in rated)
+        right[n] = sum(reading.LEVELS[min(2, int(r.level + 0.5))] == level for r, level in rated)
+    assert right[40] >= right[10] and right[40] >= 0.9 * len(rows) and right[19] >= 0.7 * len(rows)
 
 
 def test_graded_documents(spark, small):
     samples = spark.read.parquet(f"{small}/reading_samples.parquet")
     rows = [(1, None), (2, ""), (3, "too short"), (4, "Der Hund und die Katze sind nicht im Haus, aber sie sind auch nicht auf der Straße, und das ist für uns alle ein Problem."), (5, "0x1f " * 50), (6, "Think of it like a locked door. Say no, and tell your bank. Next, look at the list with care. We like to keep a coin on a good day. " * 900)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id bigint, text string, score double")
-    got = {r.id: r.grade for r in reading.grade_documents(df, samples).collect()}
-    assert {k for k, v in got.items() if v is None} == {1, 2, 3, 4, 5} and got[6] == "basic"
+    got = {r.id: r for r in reading.grade_documents(df, samples).collect()}
+    assert {k for k, r in got.items() if r.score is None} == {1, 2, 4}
+    assert [got[k].english for k in range(1, 7)] == [None, None, True, False, True, True] and got[6].grade == "basic" and got[6].prose
+    assert not got[5].prose and got[3].level is not None and got[3].error > got[6].error
     assert reading.grade_documents(df.limit(0), samples).count() == 0
     with pytest.raises(ValueError):
         reading.grade_documents(df, samples.where("level = 'basic'"))

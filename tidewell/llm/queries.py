@@ -94,12 +94,13 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents as demanding as the samples of level advanced."""
-    return _graded(spark, sf_dir).where("grade = 'advanced'").select(F.col("id").alias("doc_id")).distinct()
+    return _graded(spark, sf_dir).where("grade = 'advanced' and english and prose").select(F.col("id").alias("doc_id")).distinct()
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its score and its level on the scale 0 (basic) to 2 (advanced); null if it is no English prose."""
-    return _graded(spark, sf_dir).select(F.col("id").alias("doc_id"), "score", "level", "grade")
+    """Every document with its score, the score's standard error, its level on the scale 0 (basic) to 2 (advanced), and
+    whether it is English and prose at all."""
+    return _graded(spark, sf_dir).select(F.col("id").alias("doc_id"), "score", "error", "level", "grade", "english", "prose")
 
 
 QUERIES = {
