@@ -37,9 +37,9 @@ HELD = 1 << 18
 RARITY_POWER, LEAST_RARITY = 0.5, 4.0
 #: Buckets of the sketch of shingle frequencies: fixed, so what is broadcast never grows with the data.
 SKETCH = 1 << 18
-#: Buckets of the filter that keeps texts without candidate out of the verification's shuffle: eight a text that has one,
-#: within these bounds, so what is broadcast stays below 2 million numbers.
-LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 21
+#: Buckets of the filter that keeps texts without candidate out of the verification's shuffle: four a text that has one,
+#: within these bounds, so what is broadcast stays below a million numbers.
+LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = "".join(chr(i) if chr(i).isalnum() else " " for i in range(128))
@@ -342,7 +342,7 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
 def _only(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """The rows whose `name` is among the distinct ones of `wanted` (a written table). A broadcast filter of buckets
     goes first, so that most of the others aren't shuffled: at most MOST_FILTER rows of one number each, whatever the corpus."""
-    buckets = min(MOST_FILTER, max(LEAST_FILTER, 1 << (8 * wanted.count()).bit_length()))
+    buckets = min(MOST_FILTER, max(LEAST_FILTER, 1 << (4 * wanted.count()).bit_length()))
     bucket = F.pmod(F.xxhash64(name), F.lit(buckets)).alias("_bucket")
     near = rows.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
     return near.join(wanted, name, "left_semi")
