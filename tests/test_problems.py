@@ -75,14 +75,16 @@ def test_late_events(spark):
     ]
     df = spark.createDataFrame(rows, "id string, published_at timestamp, arrived timestamp").withColumn("us", F.unix_micros("published_at"))
     assigned = lateness.assign_period(df, "us", "arrived")
-    assert {r.id for r in lateness.refused_records(assigned, "id").collect()} == {"at closing", "after"}
-    partials = lateness.partial_aggregates(assigned)
-    path = lateness.append_partials(partials)
-    lateness.append_partials(partials, path)  # a batch that runs again replaces itself
-    r = lateness.combine(spark.read.parquet(path)).collect()
+    path = lateness.append_batches(assigned, None, "id")
+    lateness.append_batches(assigned.where("arrived >= timestamp '2024-01-04'"), None, "id", path)  # batches that run again replace themselves
+    state = lateness.stored(spark, path)
+    named = lateness.refused_records(state).collect()
+    assert sorted(r.id for r in named) == ["after", "at closing"]
+    r = lateness.combine(state).collect()
     assert len(r) == 1 and (r[0].n, r[0].n_late, r[0].n_refused) == (4, 1, 4)
-    early = lateness.combine(spark.read.parquet(path), as_of="2024-01-01").collect()
+    early = lateness.combine(state, as_of="2024-01-01").collect()
     assert early[0].n == 2
+    assert lateness.stored(spark, lateness.append_batches(assigned.limit(0), None, "id", path)).count() == state.count()
     assert lateness.combine(lateness.partial_aggregates(assigned.limit(0))).count() == 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewell.sources.scratch import fresh_path
 
@@ -48,18 +48,39 @@ def partial_aggregates(assigned: DataFrame, value: Column | None = None, by: tup
     )
 
 
-def append_partials(partials: DataFrame, path: str | None = None) -> str:
-    """Stores partials under their arrival batch. Running a batch again replaces that batch only (idempotent)."""
-    path = path or fresh_path(partials.sparkSession, "period-partials")
+def refused_rows(assigned: DataFrame, id_col: str) -> DataFrame:
+    """The rows of the stored state that name what was refused: one per (period, batch, identifier)."""
+    held = assigned.where("refused").select("period", "batch", F.col(id_col).cast("string").alias("id"))
+    return held.where("id is not null").distinct()
+
+
+def append_batches(assigned: DataFrame, value: Column | None = None, id_col: str | None = None, path: str | None = None) -> str:
+    """Stores the state of every arrival batch of `assigned` and returns its path: the partial aggregates per period, and
+    with `id_col` the identifiers that were refused. Running a batch again replaces that batch only (idempotent). A hot
+    batch is written by several tasks."""
+    path = path or fresh_path(assigned.sparkSession, "period-partials")
+    state = partial_aggregates(assigned, value)
+    if id_col is not None:
+        state = state.unionByName(refused_rows(assigned, id_col), allowMissingColumns=True)
+    else:
+        state = state.withColumn("id", F.lit(None).cast("string"))
     (
-        partials.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        state.hint("rebalance", F.col("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch").parquet(path)
     )
     return path
 
 
-def combine(partials: DataFrame, by: tuple[str, ...] = (), as_of: str | None = None) -> DataFrame:
+STATE = "period date, n bigint, n_refused bigint, n_late bigint, v_sum double, v_n bigint, v_min double, v_max double, id string, batch date"
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATE).option("basePath", path).parquet(path)
+
+
+def combine(state: DataFrame, by: tuple[str, ...] = (), as_of: str | None = None) -> DataFrame:
     """The corrected aggregates per period, merged on read; `as_of` shows them as they stood after that batch."""
+    partials = state.where("id is null") if "id" in state.columns else state
     if as_of is not None:
         partials = partials.where(F.col("batch") <= F.lit(as_of).cast("date"))
     return (
@@ -72,6 +93,6 @@ def combine(partials: DataFrame, by: tuple[str, ...] = (), as_of: str | None = N
     )
 
 
-def refused_records(assigned: DataFrame, id_col: str) -> DataFrame:
-    """The identifiers that came after their period had closed, once each."""
-    return assigned.where("refused").select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
+def refused_records(state: DataFrame) -> DataFrame:
+    """(id): what the stored state refused, over all its batches, once each."""
+    return state.where("id is not null").select("id").distinct()

@@ -61,15 +61,17 @@ def _assigned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = lambda df, tbl, key: lateness.refused_records(df, key).select(F.lit(tbl).alias("tbl"), "id")
-    return tagged(_assigned_news(spark, sf_dir), "raw_news", "item_id").unionByName(tagged(_assigned_events(spark, sf_dir), "event_records", "record_id"))
+    """What came too late, as the stored state of the arrival batches names it."""
+
+    def refused(assigned: DataFrame, tbl: str, key: str) -> DataFrame:
+        state = lateness.stored(spark, lateness.append_batches(assigned, None, key))
+        return lateness.refused_records(state).select(F.lit(tbl).alias("tbl"), "id")
+
+    return refused(_assigned_news(spark, sf_dir), "raw_news", "item_id").unionByName(refused(_assigned_events(spark, sf_dir), "event_records", "record_id"))
 
 
 def _daily(assigned: DataFrame, value) -> DataFrame:
-    path = lateness.append_partials(lateness.partial_aggregates(assigned, value))
-    spark = assigned.sparkSession
-    stored = spark.read.option("basePath", path).parquet(path)
-    return lateness.combine(stored)
+    return lateness.combine(lateness.stored(assigned.sparkSession, lateness.append_batches(assigned, value)))
 
 
 def p3_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
