@@ -17,6 +17,13 @@ def _as_glob(path: str) -> str:
     return path[:-1] + f"[{path[-1]}]"
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes at a path, a file or a folder of files."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def digest(tag: Column, key: Column) -> Column:
     """128 bits of an identifier: what the state stores hold and the lookups compare, whatever its length."""
     text = key.cast("string")
@@ -42,7 +49,8 @@ def keep_first(
     salts: int = 8,
     out: str | None = None,
     checkpoint: str | None = None,
-    max_bytes_per_trigger: int = 64 << 30,
+    batches: int = 3,
+    max_bytes_per_trigger: int | None = None,
 ) -> str:
     """Streams the feeds, keeps one row of each identifier of each feed, and returns the folder with (tag, key digest,
     row_id, event_time, batch); the tag is the feed's place in the list. Identifiers of different feeds differ.
@@ -58,13 +66,17 @@ def keep_first(
     looked up in the identifiers already emitted. Rows older than the watermark never reach the stores; `settle`
     adds those whose identifier has not been emitted.
 
+    Batches: what lies at a feed's path is taken in about `batches` micro-batches (files stay whole), or in ones of
+    `max_bytes_per_trigger` of each feed.
+
     Rows without identifier are not messages and are left out; a null event time counts as 1970.
     """
     out = out or fresh_path(spark, "kept")
     checkpoint = checkpoint or fresh_path(spark, "kept-checkpoint")
     parts = []
     for tag, feed in enumerate(feeds):
-        source = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(_as_glob(feed.path))
+        most = max_bytes_per_trigger or max(1, -(-size_of(spark, feed.path) // batches))
+        source = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", most).parquet(_as_glob(feed.path))
         at = F.coalesce(F.col(feed.event_time).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
         named = source.where(F.col(feed.key).isNotNull())
         parts.append(named.select(F.lit(tag).alias("tag"), digest(F.lit(tag), F.col(feed.key)).alias("key"), F.col(feed.row_id).alias("row_id"), at.alias("event_time")))
@@ -86,14 +98,10 @@ def keep_first(
 
     # Readers find a table even if no message ever comes.
     spark.createDataFrame([], kept_schema).coalesce(1).write.mode("ignore").parquet(f"{out}/batch=-1")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
-    try:
-        query = stream.writeStream.foreachBatch(emit).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    # A stream takes its store from the session when it starts; the setting stays, so streams may start side by side.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    query = stream.writeStream.foreachBatch(emit).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     return out
 
 
