@@ -113,4 +113,16 @@ def test_dictionary_grows(spark, feeds):
     v2 = spark.createDataFrame([("5 Jan 24 12:00:00", "a.example", 9), ("6 Jan 24 12:00:00", "a.example", 1)], "raw string, src string, n bigint")
     assert grow_dictionary(v1, feeds, path).count() == 1
     again = grow_dictionary(v2, feeds, path)
-    assert sorted((r.raw, r.n) for r in again.collect()) == [("5 Jan 24 12:00:00", 1), ("6 Jan 24 12:00:00", 1)]
+    # The known value was not parsed again, so it stands in the dictionary once.
+    assert sorted((r.raw, r.instant_us) for r in again.collect()) == [("5 Jan 24 12:00:00", us(2024, 1, 5, 17)), ("6 Jan 24 12:00:00", us(2024, 1, 6, 17))]
+
+
+def test_values_that_turn_hot_later(spark, feeds):
+    """Hot values are counted on the rows at hand; the dictionary persists over calls."""
+    path = fresh_path(spark, "dictionary")
+    one = lambda raws: spark.createDataFrame([(i, r, "b.example") for i, r in enumerate(raws)], "id int, raw string, src string")
+    first = normalise_instants(one([f"2024-01-05 12:00:{k:02d}" for k in range(60)]), "raw", "src", feeds, "t", path).collect()
+    assert all(r.t == us(2024, 1, 5, 12, 0, r.id) for r in first)
+    later = normalise_instants(one(["2024-01-05 12:00:07"] * 500 + ["2024-02-01 00:00"]), "raw", "src", feeds, "t", path).collect()
+    assert len(later) == 501 and {r.t for r in later} == {us(2024, 1, 5, 12, 0, 7), us(2024, 2, 1)}
+    assert spark.read.parquet(path).count() == 61

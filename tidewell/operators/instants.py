@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.instants import CANONICAL, canonical_micros, with_instant
-from tidewell.sources.scratch import fresh_path
+from tidewell.sources.scratch import fresh_path, materialise
 
 #: A value is hot when it makes up at least this share of all rows, so there are never more than 1/share of them.
 HOT_SHARE = 1 / 64
@@ -23,8 +23,12 @@ def distinct_values(rows: DataFrame, raw: str, source: str) -> DataFrame:
     return needs.groupBy(F.col(raw).alias("raw"), F.col(source).alias("src")).agg(F.count("*").alias("n"))
 
 
+def match_null_safe(a: DataFrame, b: DataFrame) -> Column:
+    return (a["raw"] == b["raw"]) & a["src"].eqNullSafe(b["src"])
+
+
 def grow_dictionary(values: DataFrame, feeds: DataFrame, path: str | None = None) -> DataFrame:
-    """The dictionary (raw, src, instant_us, n) with every value of `values`, persisted at `path`.
+    """The dictionary (raw, src, instant_us) with every value of `values`, persisted at `path`.
 
     An existing dictionary at `path` is kept: only values it lacks are parsed and appended, so the parser sees each
     distinct string once over the life of the corpus. `feeds` gives home_tz and date_order by source_domain; it is
@@ -32,17 +36,19 @@ def grow_dictionary(values: DataFrame, feeds: DataFrame, path: str | None = None
     """
     spark = values.sparkSession
     path = path or fresh_path(spark, "instant-dictionary")
-    schema = "raw string, src string, n bigint, instant_us bigint"
+    schema = "raw string, src string, instant_us bigint"
     known = None
     try:
         known = spark.read.schema(schema).parquet(path)
     except Exception as e:  # noqa: BLE001 - the first run has no dictionary yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    fresh = values if known is None else values.join(known.select("raw", "src"), (values.raw.eqNullSafe(known.raw)) & values.src.eqNullSafe(known.src), "left_anti")
+    fresh = values if known is None else values.join(known.select("raw", "src"), match_null_safe(values, known), "left_anti")
+    # Parsing costs far more than its bytes tell: an even spread over the cores, not a merge of small partitions.
+    fresh = fresh.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     homes = feeds.select(F.col("source_domain").alias("_dom"), "home_tz", "date_order").dropDuplicates(["_dom"])
     parsed = with_instant(fresh.join(homes, fresh.src == homes["_dom"], "left"), "raw", "home_tz", "date_order", "instant_us")
-    parsed.select("raw", "src", "n", "instant_us").write.mode("append").parquet(path)
+    parsed.select("raw", "src", "instant_us").write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -56,8 +62,11 @@ def normalise_instants(rows: DataFrame, raw: str, source: str, feeds: DataFrame,
     cols = rows.columns
     rows = rows.withColumnsRenamed({c: f"r_{c}" for c in cols})
     raw_c, src_c = F.col(f"r_{raw}"), F.col(f"r_{source}")
-    book = grow_dictionary(distinct_values(rows, f"r_{raw}", f"r_{source}"), feeds, path)
-    hot = book.where(F.col("n") >= book.agg(F.sum("n")).scalar() * HOT_SHARE)
+    values = materialise(distinct_values(rows, f"r_{raw}", f"r_{source}"), "distinct-instants")
+    book = grow_dictionary(values, feeds, path)
+    # Hot is what the rows at hand repeat, whatever an older dictionary has seen.
+    hot = values.where(F.col("n") >= values.agg(F.sum("n")).scalar() * HOT_SHARE).join(book, match_null_safe(values, book), "left")
+    hot = hot.select(values.raw, values.src, book.instant_us)
     match = lambda d: (raw_c == d["raw"]) & src_c.eqNullSafe(d["src"])
     plain = ~raw_c.rlike(r"\S") | raw_c.isNull() | raw_c.rlike(CANONICAL)
     named = {**{c: F.col(f"r_{c}") for c in cols}}
