@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +29,21 @@ def local_session(cpus: int | None = None, app: str = "tidewell", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application. The archive is read by the driver only, which serves it."""
+    app = spark.sparkContext.applicationId
+    if app in _sent:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # not itself read from an archive
+        name = Path(tempfile.mkdtemp(prefix="tidewell-")) / "tidewell.zip"
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(name))
+    _sent.add(app)
