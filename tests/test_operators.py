@@ -232,6 +232,18 @@ def test_append_is_idempotent(spark):
     assert [sinks.append_new(df, path, ["id"], ["day"], [F.col("o")]) for _ in range(2)] == [2, 0]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_across_blocks_against_brute_force(spark, strict):
+    rng = random.Random(9)
+    left = [(i, rng.choice(["a", "a", "a", "b", None]), T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 60))) for i in range(300)] + [(300, "a", None)]
+    right = [(rng.choice(["a", "b", None]), T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 60)), k) for k in range(40)] + [("a", None, 99)]
+    l, r = spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "k string, u timestamp, v int")
+    got = {x.id: x.v for x in pit.asof_join(l, r, ["k"], "t", "u", ["v"], strict, 24 * pit.HOUR_US).collect()}
+    for i, k, t in left:
+        seen = [(u, v) for kk, u, v in right if kk == k and t and u and (u < t if strict else u <= t)]
+        assert got[i] == (max(seen)[1] if seen else None), i
+
+
 def test_paged_source_stops_at_the_last_id(spark, tmp_path):
     import json
 
@@ -250,3 +262,12 @@ def test_paged_source_stops_at_the_last_id(spark, tmp_path):
     assert poll() == [1, 2, 3]
     (pages / "2.json").write_text("\n".join(json.dumps({"id": i, "title": f"t{i}"}) for i in (5, 4, 3)))
     assert poll() == [1, 2, 3, 4, 5]
+    # Two polls, the second in two pages, taken in one go: each post once.
+    (pages / "3.json").write_text("\n".join(json.dumps({"id": i}) for i in (9, 8)))
+    (pages / "4.json").write_text("\n".join(json.dumps({"id": i}) for i in (7, 6, 5)))
+    (pages / "5.json").write_text("\n".join(json.dumps({"id": i}) for i in (10, 9)))
+    assert poll() == list(range(1, 11))
+    assert sorted(r.id for r in spark.read.format("paged_posts").option("path", f"file://{pages}").load().collect()) == list(range(1, 11))
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert spark.read.format("paged_posts").option("path", str(empty)).load().count() == 0

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the one of the same name, bound by its SQL, covers a part of it."""
+"""Queries with long windows, many horizons and all spans, on data that is long enough for them."""
 
 import datetime as dt
 
@@ -12,7 +12,7 @@ from tidewell.plans.fixtures import Views
 
 
 def test_every_daily_bar_is_in_a_window(spark, small):
-    got = entry.queries()["W21_window_scans_whole"](spark, small).collect()
+    got = entry.queries()["W21_window_scans"](spark, small).collect()
     bars = Views(spark, small).ohlcv_d.select("asset", F.to_date("open_time").alias("day")).collect()
     first, last = min(b.day for b in bars).replace(day=1), max(b.day for b in bars)
     months = (last.year - first.year) * 12 + last.month - first.month
@@ -68,7 +68,7 @@ def test_volatility_controls_of_a_day_and_a_week(spark):
 
 def test_beta_of_720_rows(spark):
     bars = Bars(spark)
-    got = series_queries.W8_trailing_beta_whole(bars).toPandas()
+    got = series_queries.W8_trailing_beta(bars).toPandas()
     r = np.log(bars.closes).diff()
     m = r.mean(axis=1)
     want = r.rolling(720, min_periods=168).cov(m).div(m.rolling(720, min_periods=168).var(), axis=0).shift(1)
@@ -91,7 +91,7 @@ def test_abnormal_return_before_and_after_an_event(spark):
 
 
 def test_study_has_all_offsets_and_directions(spark, small):
-    got = entry.queries()["M30_M31_F8_day_clustered_whole"](spark, small).where("subset = 'all'").collect()
+    got = entry.queries()["M30_M31_F8_day_clustered"](spark, small).where("subset = 'all'").collect()
     assert {(r.k, r.measure) for r in got} >= {(k, m) for k in (-60, -15, -5, 1, 5, 15, 30, 60, 240) for m in ("signed", "positive", "negative", "abs_excess", "raw_abs_excess")}
 
 
@@ -106,7 +106,7 @@ def _nw(z, lag):
 
 def test_grid_of_all_dimensions(spark):
     d = "/root/testdata/sf0.01"
-    got = entry.queries()["M4_M7_newey_west_grid_whole"](spark, d).toPandas().set_index(["cadence", "feature", "h", "period", "ic_type", "scope", "asset"])
+    got = entry.queries()["M4_M7_newey_west_grid"](spark, d).toPandas().set_index(["cadence", "feature", "h", "period", "ic_type", "scope", "asset"])
     v = Views(spark, d)
     close = v.ohlcv_h.select("asset", "open_time", "close").toPandas().pivot(index="open_time", columns="asset", values="close").sort_index()
     ev = v.ev.select("asset", "published_at").toPandas()
@@ -146,4 +146,15 @@ def test_replicates_rounds_and_lags(spark, small):
 
     assert {r.n for r in entry.queries()["M14_bootstrap_interval"](spark, small).collect()} == {500}
     assert inspect.signature(stats.boosted_trees).parameters["rounds"].default == 100
-    assert {r.lag for r in entry.queries()["W15_W16_autocorrelation_whole"](spark, small).collect()} == {1, 2, 3, 4, 5}
+    assert {r.lag for r in entry.queries()["W15_W16_autocorrelation"](spark, small).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_newey_west_beyond_128_lags(spark):
+    """Lags from a column are used whole, however many."""
+    from tidewell.operators import stats
+
+    rng = np.random.default_rng(8)
+    z = np.convolve(rng.normal(size=1200), np.ones(150), "valid")
+    df = spark.createDataFrame([("c", i, float(x), 200) for i, x in enumerate(z)], "cell string, ts int, z double, lag int")
+    got = stats.newey_west(df, ["cell", "lag"], "ts", "z", "lag").first()
+    assert np.isclose(got.t, _nw(z, 200)) and not np.isclose(got.t, _nw(z, 128))

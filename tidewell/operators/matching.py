@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewell.functions.text import ALIASES
 from tidewell.sources.scratch import materialise
@@ -34,37 +34,84 @@ def match_symbols(texts: DataFrame, universe: DataFrame, id_col: str, text: str,
     return best.select(id_col, F.col("b.symbol").alias("symbol"))
 
 
+#: Events whose best cosine over the candidates reaches this are settled by them; the others meet their whole window.
+SETTLED = 0.3
+
+
+def _in_window(asks: DataFrame, posts: DataFrame, keys: list[str], us: int) -> DataFrame:
+    """`asks` (id, keys, at, hash, ...) with n: rows of `posts` (keys, at, hash) of equal keys in the `us` before `at`, without
+    those of the ask's own hash. Sliding counts over time, no pair is formed; time is cut into buckets of the window's
+    length, so a busy key is spread over its buckets."""
+    bucket = F.floor(F.col("at") / F.lit(float(us))).cast("bigint")
+    rest = [c for c in asks.columns if c not in (*keys, "at", "hash")]
+    held = F.struct(*rest)
+    p = posts.where("hash is not null").select(*keys, "at", "hash", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    a = asks.where("hash is not null").select(*keys, "at", "hash", bucket.alias("_b"), held.alias("_ask"))
+    both = p.withColumn("_ask", F.lit(None).cast(a.schema["_ask"].dataType)).unionByName(a)
+    count = lambda *by: F.count(F.when(F.col("_ask").isNull(), 1)).over(Window.partitionBy(*keys, "_b", *by).orderBy("at").rangeBetween(-us, -1))
+    return both.withColumn("n", count() - count("hash")).where("_ask is not null").select(*keys, "at", "hash", "_ask.*", "n")
+
+
 def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
     """(id, novelty): 1 - the greatest cosine between an event's text and the texts of its asset in the `hours` before it.
 
     Weights are tf-idf fitted per event on its own window: counts x (ln((1 + n) / (1 + df)) + 1), L2-normalised. An
     event without a window, without time or without words is fully new (1.0). Columns: id, asset, ts, text, hash; rows
-    with the event's own hash are no window.
+    with the event's own hash are no window, those without a hash are in none.
 
-    Work: candidate pairs come from time buckets of the window's length, so only pairs of one asset within two buckets
-    are formed; a busy asset is spread over its buckets. Everything after is hash aggregation.
+    Work: window sizes and document frequencies are sliding counts. Candidates come from an inverted index of the words
+    that make up all but SETTLED of an event's length: a text that shares only others has a smaller cosine. Their cosines
+    are bounded by the weights that are known (an unknown idf is between 1 and 1 + ln(1 + n)); only those that may be
+    the greatest are worked out. Events with no candidate of SETTLED or more are compared with their whole windows.
     """
     us = hours * 3_600_000_000
-    bucket = F.floor(F.unix_micros("ts") / F.lit(float(us))).cast("bigint")
-    left = events.where("ts is not null").select("id", "asset", "ts", "hash", F.explode(F.array(bucket - 1, bucket)).alias("b"))
-    right = pool.where("ts is not null").select(F.col("id").alias("wid"), "asset", F.col("ts").alias("wts"), F.col("hash").alias("whash"), bucket.alias("b"))
-    gap = F.unix_micros("ts") - F.unix_micros("wts")
-    pairs = left.join(right, ["asset", "b"]).where((gap > 0) & (gap <= us) & (F.col("hash") != F.col("whash"))).select("id", "wid")
-    pairs = materialise(pairs, "novelty-pairs")  # read three times below
-    words = lambda df, key: df.select(F.col("id").alias(key), F.explode(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: t != "")).alias("w")).groupBy(key, "w").agg(F.count("*").alias("tf"))
-    own, other = words(events, "id"), words(pool, "wid")
-    seen = pairs.join(other, "wid")
-    size = pairs.groupBy("id").agg((F.count("*") + 1).alias("n"))
-    mine = own.join(size, "id").select("id", "w", F.col("tf").alias("otf"), "n")
-    df = seen.groupBy("id", "w").agg(F.count("*").alias("dfw"))
-    idf = df.join(mine.select("id", "w", "otf"), ["id", "w"], "full").join(size, "id")
-    idf = idf.select("id", "w", (F.log((1 + F.col("n")) / (1 + F.coalesce("dfw", F.lit(0)) + F.when(F.col("otf").isNotNull(), 1).otherwise(0))) + 1).alias("idf"), "otf")
-    norm = idf.where("otf is not null").groupBy("id").agg(F.sqrt(F.sum((F.col("otf") * F.col("idf")) ** 2)).alias("na"))
-    weighed = seen.join(idf, ["id", "w"])  # idf has every word of the window and of the event itself
-    per = weighed.groupBy("id", "wid").agg(F.sum(F.coalesce("otf", F.lit(0)) * F.col("tf") * F.col("idf") ** 2).alias("dot"), F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("nb"))
-    best = per.join(norm, "id").groupBy("id").agg(F.max(F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
+    at = F.unix_micros("ts").alias("at")
+    timed = "ts is not null and asset is not null and id is not null"
+    split = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: t != "")
+    words = lambda df: df.where("id is not null").select("id", F.explode(split).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
+    asks, posts = events.where(timed).select("id", "asset", at, "hash"), pool.where(timed).select("id", "asset", at, "hash")
+    said = materialise(words(pool), "novelty-words")
+    indexed = materialise(posts.join(said, "id"), "novelty-index")  # id, asset, at, hash, w, tf
+    size = _in_window(asks, posts, ["asset"], us).where("n > 0").select("id", "asset", "at", "hash", (F.col("n") + 1).alias("n_docs"))
+    own = size.join(words(events).withColumnRenamed("tf", "otf"), "id")
+    idf = lambda n, df: F.log((1 + n) / (1 + df)) + 1
+    known = _in_window(own, indexed, ["asset", "w"], us).withColumn("idf", idf(F.col("n_docs"), F.col("n") + 1)).withColumn("weight", F.pow(F.col("otf") * F.col("idf"), F.lit(2.0)))
+    by_weight = Window.partitionBy("id").orderBy("weight", "w")
+    known = known.withColumns({"na2": F.sum("weight").over(Window.partitionBy("id")), "upto": F.sum("weight").over(by_weight)})
+    known = materialise(known.select("id", "asset", "at", "hash", "n_docs", "w", "otf", "idf", "na2", (F.col("upto") > F.col("na2") * SETTLED**2).alias("leads")), "novelty-own")
+
+    bucket = F.floor(F.col("at") / F.lit(float(us))).cast("bigint")
+    window = lambda df: df.select("*", F.explode(F.array(bucket - 1, bucket)).alias("_b"))
+    before = lambda df: df.withColumn("_b", bucket).withColumnsRenamed({"id": "wid", "at": "wat", "hash": "whash"})
+    inside = (F.col("at") > F.col("wat")) & (F.col("at") - F.col("wat") <= us) & (F.col("hash") != F.col("whash"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """(id, sim) over candidate pairs (id, wid)."""
+        terms = pairs.join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w", "otf", "idf"), ["id", "w"], "left")
+        both = F.col("tf") * F.col("idf")
+        sums = terms.groupBy("id", "wid").agg(F.sum(both * F.col("otf") * F.col("idf")).alias("dot"), F.sum(both * both).alias("in2"), F.sum(F.when(F.col("idf").isNull(), F.col("tf") * F.col("tf"))).alias("out2"))
+        sums = sums.where("dot > 0").join(known.groupBy("id").agg(F.first("na2").alias("na2"), F.first("n_docs").alias("n_docs"), F.first("asset").alias("asset"), F.first("at").alias("at"), F.first("hash").alias("hash")), "id")
+        out2 = F.coalesce("out2", F.lit(0))
+        most, least = F.lit(1.0), F.pow(F.log(1 + F.col("n_docs")) + 1, F.lit(2.0))
+        cosine = lambda rest: F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + rest))
+        bounded = sums.withColumns({"hi": cosine(out2 * most), "lo": cosine(out2 * least)})
+        open_ = bounded.withColumn("top", F.max("lo").over(Window.partitionBy("id"))).where("hi >= top * (1 - 1e-9)")
+        left = materialise(open_.select("id", "wid", "asset", "at", "hash", "n_docs", "dot", "na2", "in2"), "novelty-open")
+        others = left.select("id", "wid").join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w"), ["id", "w"], "left_anti")
+        asked = others.select("id", "w").distinct().join(size, "id")
+        rare = _in_window(asked, indexed, ["asset", "w"], us).select("id", "w", idf(F.col("n_docs"), F.col("n")).alias("idf"))
+        rest = others.join(rare, ["id", "w"]).groupBy("id", "wid").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))).alias("rest"))
+        full = left.join(rest, ["id", "wid"], "left").withColumn("sim", F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + F.coalesce("rest", F.lit(0.0)))))
+        return full.groupBy("id").agg(F.max("sim").alias("sim"))
+
+    led = window(known.where("leads").select("id", "asset", "at", "hash", "w"))
+    first = materialise(led.join(before(indexed.drop("tf")), ["asset", "w", "_b"]).where(inside).select("id", "wid").distinct(), "novelty-candidates")
+    tried = materialise(best(first), "novelty-first")
+    left = size.join(tried.where(F.col("sim") >= SETTLED).select("id"), "id", "left_anti").select("id", "asset", "at", "hash")
+    second = window(left).join(before(posts), ["asset", "_b"]).where(inside).select("id", "wid").distinct()
+    found = tried.unionByName(best(materialise(second, "novelty-whole"))).groupBy("id").agg(F.max("sim").alias("sim"))
     out = F.when(F.col("sim").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sim"))))
-    return events.select("id").join(best, "id", "left").select("id", out.alias("novelty"))
+    return events.select("id").join(found, "id", "left").select("id", out.alias("novelty"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str, order: list[Column] | None = None) -> DataFrame:

@@ -36,18 +36,30 @@ def range_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_
     return joined.unionByName(rest, allowMissingColumns=True)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False) -> DataFrame:
+#: Stretch of time that one task of an as-of join sorts.
+ASOF_BLOCK_US = 7 * 24 * HOUR_US
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], strict: bool = False, block_us: int = ASOF_BLOCK_US) -> DataFrame:
     """Adds to every row of `left` the `values` of the last `right` row of its keys at or before its time (before, if
-    `strict`). One union and one window over (keys, time): no pair is ever formed. Of several right rows at one time
-    the greatest counts; a left row without an earlier right row gets nulls."""
+    `strict`). No pair is ever formed: rows meet in windows over (keys, block of time), and the last value of the
+    blocks before comes from a table with one row a key and block, so a hot key is spread over its blocks. Of several
+    right rows at one time the greatest counts; a left row without an earlier right row gets nulls."""
     order = F.lit(1 if strict else -1)
-    r = right.groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.max(F.struct(*values)).alias("_v")).withColumn("_o", order)
+    block = F.floor(F.unix_micros("_t") / F.lit(float(block_us))).cast("bigint")
+    r = right.groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.max(F.struct(*values)).alias("_v")).where("_t is not null").withColumn("_b", block)
     held = F.struct(*[F.col(c) for c in left.columns])
-    lhs = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.lit(0).alias("_o"), held.alias("_l"))
-    both = r.select(*keys, "_t", "_v", "_o", F.lit(None).cast(lhs.schema["_l"].dataType).alias("_l")).unionByName(lhs)
-    w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    lhs = left.select(*keys, F.col(left_ts).alias("_t"), held.alias("_l")).withColumn("_b", block)
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    lasts = r.groupBy(*keys, "_b").agg(F.max_by("_v", "_t").alias("_v")).unionByName(lhs.select(*keys, "_b", none("_v", r)).distinct())
+    known = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    carried = lasts.groupBy(*keys, "_b").agg(F.max("_v").alias("_v")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), known.alias("_c"))
+    both = r.select(*keys, "_b", "_t", "_v", order.alias("_o"), none("_l", lhs)).unionByName(lhs.select(*keys, "_b", "_t", none("_v", r), F.lit(0).alias("_o"), "_l"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_l is not null")
-    return filled.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b").eqNullSafe(F.col("_kb"))]
+    joined = filled.join(carried, same, "left").withColumn("_v", F.coalesce("_v", "_c"))
+    return joined.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def dense_hours(rows: DataFrame, key: str, ts: str) -> DataFrame:
@@ -75,8 +87,8 @@ def _horner(values: Column, ratio: float) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a * F.lit(ratio) + x)
 
 
-def lookback_features(events: DataFrame, bars: DataFrame, lookbacks: list[int]) -> DataFrame:
-    """Long form (asset, bar_open_ts, lookback_h, features) for hour-aligned, dense `bars`.
+def lookback_structs(events: DataFrame, bars: DataFrame, lookbacks: list[int]) -> DataFrame:
+    """(asset, bar_open_ts, fs): an array with the features of each lookback, for hour-aligned, dense `bars`.
 
     [T - L, T) is exactly L hour tiles, so the work is the events once plus bars x lookbacks, instead of every event in
     every window it falls into. The decayed sum follows Horner's rule over the tiles. Windows without an event give
@@ -101,18 +113,22 @@ def lookback_features(events: DataFrame, bars: DataFrame, lookbacks: list[int])
             real("spm").alias("mag_weighted_polarity"), real("spnm").alias("novelty_polarity"),
             *[F.coalesce(F.max(f).over(w), F.lit(0)).alias(f"{f}_flag") for f in FLAGS], decay.alias("recency_polarity"),
         ))
-    held = dense.select("asset", F.col("hour").alias("bar_open_ts"), F.array(*out).alias("fs"))
-    return held.select("asset", "bar_open_ts", F.explode("fs").alias("f")).select("asset", "bar_open_ts", "f.*")
+    return dense.select("asset", F.col("hour").alias("bar_open_ts"), F.array(*out).alias("fs"))
+
+
+def lookback_features(events: DataFrame, bars: DataFrame, lookbacks: list[int]) -> DataFrame:
+    """Long form (asset, bar_open_ts, lookback_h, features)."""
+    return lookback_structs(events, bars, lookbacks).select("asset", "bar_open_ts", F.explode("fs").alias("f")).select("asset", "bar_open_ts", "f.*")
 
 
 FEATURES = ("n_events", "n_high_conf_events", "polarity_sum", "polarity_mean", "polarity_std", "polarity_min", "polarity_max", "mag_weighted_polarity", "novelty_polarity",
             "hack_flag", "regulation_flag", "listing_flag", "depeg_flag", "recency_polarity")
 
 
-def wide_features(long: DataFrame, lookbacks: list[int]) -> DataFrame:
-    """The same features side by side, one column per feature and lookback."""
-    cols = [F.max(F.when(F.col("lookback_h") == L, F.col(f))).alias(f"evt_{f}_h{L}") for L in lookbacks for f in FEATURES]
-    return long.groupBy("asset", "bar_open_ts").agg(*cols)
+def wide_features(events: DataFrame, bars: DataFrame, lookbacks: list[int]) -> DataFrame:
+    """The same features side by side, one column per feature and lookback (evt_<feature>_h<lookback>)."""
+    held = lookback_structs(events, bars, lookbacks)
+    return held.select("asset", "bar_open_ts", *[F.col("fs")[i][f].alias(f"evt_{f}_h{L}") for i, L in enumerate(lookbacks) for f in FEATURES])
 
 
 def sliding_features(events: DataFrame, lookback_h: int, slide: str = "1 hour") -> DataFrame:

@@ -40,9 +40,10 @@ def newey_west(rows: DataFrame, cell: list[str], order: str, value: str, lag: in
 
     `lag` is a number or a column of the cell. Autocovariances come from one window pass: every row carries its last
     `most` deviations as an array, so no self-join and no group is collected. t is null for fewer than `least` rows or
-    a variance that is not positive. A column needs an upper bound on its values: 128 rows.
+    a variance that is not positive. With a column, the window is as wide as its greatest value, which is looked up
+    when the plan is made.
     """
-    most = lag if isinstance(lag, int) else 128
+    most = lag if isinstance(lag, int) else max(1, int(rows.agg(F.max(lag)).first()[0] or 0))
     wanted = F.lit(lag) if isinstance(lag, int) else F.col(lag)
     w = Window.partitionBy(*cell)
     ok = rows.where(F.col(value).isNotNull() & ~F.isnan(value))

@@ -45,9 +45,10 @@ def _wide_sql() -> str:
 
 @query(_wide_sql(), "bars_h")
 def A4_lookbacks_wide(v):
-    """A4: three lookbacks side by side."""
-    wide = pit.wide_features(pit.lookback_features(v.ev, v.bars_h, [6, 24, 72]), [6, 24, 72])
-    return wide.select("asset", "bar_open_ts", *[r6(f"evt_{f}_h{L}") if f != "n_events" else F.col(f"evt_{f}_h{L}") for L in (6, 24, 72) for f in ("n_events", "polarity_sum", "recency_polarity")])
+    """Three lookbacks side by side, columns chosen by prefix."""
+    wide = pit.wide_features(v.ev, v.bars_h, [6, 24, 72])
+    kept = [c for c in wide.columns if c.startswith(("evt_n_events_h", "evt_polarity_sum_h", "evt_recency_polarity_h"))]
+    return wide.select("asset", "bar_open_ts", *[c if c.startswith("evt_n_") else r6(c) for c in kept])
 
 
 @query(f"select b.asset, b.bar_open_ts, count(*) as n_pairs, round(sum({_AGE}), 6) + 0.0 as age_h {_JOIN.format(L=6).replace('left join', 'join')} group by 1, 2", "bars_h")

@@ -84,17 +84,10 @@ def _returns(v):
     return r.withColumn("m", F.avg("r").over(Window.partitionBy("ts")))
 
 
-@query(f"""with {_R}, b as (select asset, ts, case when regr_count(r, m) over w >= 24 and count(m) over w >= 24 then covar_samp(r, m) over w / var_samp(m) over w end as b from rm window w as (partition by asset order by ts rows between 239 preceding and current row))
-select asset, ts, round(lag(b) over {_W[7:].replace('w as ', '')}, 6) as beta from b""", "ohlcv_h")
-def W8_trailing_beta(v):
-    """Beta on the equal-weight market from trailing returns, known one row later."""
-    return series.trailing_beta(_returns(v), 240, 24).select("asset", "ts", r6("beta"))
-
-
 @query(f"""with {_R}, b as (select asset, ts, case when regr_count(r, m) over w >= 168 and count(m) over w >= 168 then covar_samp(r, m) over w / var_samp(m) over w end as b from rm window w as (partition by asset order by ts rows between 719 preceding and current row))
 select asset, ts, round(lag(b) over {_W[7:].replace('w as ', '')}, 6) as beta from b""", "ohlcv_h")
-def W8_trailing_beta_whole(v):
-    """The same over 720 rows, null before 168 of them have a return."""
+def W8_trailing_beta(v):
+    """Beta on the equal-weight market from the returns of 720 rows, null before 168 of them have one, known one row later."""
     return series.trailing_beta(_returns(v)).select("asset", "ts", r6("beta"))
 
 
@@ -139,15 +132,10 @@ def _vol_columns(f, short: int, long: int):
     return f.select("asset", "ts", r6(y, "y"), *[r6(F.log(F.col(f"d{n}") + eps), f"x{n}") for n in (short, long)])
 
 
-@query(f"with {_vol(12, 24, 2)} select asset, ts, round(ln((rv + 1e-12) / nullif(sf, 0)), 6) as y, round(ln(d12 + 1e-12), 6) as x12, round(ln(d24 + 1e-12), 6) as x24 from vf", "ohlcv_h")
-def W10_W12_M24_vol_frame(v):
-    """Expanding same-hour-of-week profile, forward variance, trailing controls."""
-    return _vol_columns(vol_frame(_px(v), 6, 12, 24, 2), 12, 24)
-
-
 @query(f"with {_vol(24, 168, 4)} select asset, ts, round(ln((rv + 1e-12) / nullif(sf, 0)), 6) as y, round(ln(d24 + 1e-12), 6) as x24, round(ln(d168 + 1e-12), 6) as x168 from vf", "ohlcv_h")
-def W10_W12_M24_vol_frame_whole(v):
-    """The same with controls of a day and a week and a profile from four earlier weeks."""
+def W10_W12_M24_vol_frame(v):
+    """Expanding same-hour-of-week profile from four earlier weeks on, forward variance, controls of
+    a day and a week."""
     return _vol_columns(vol_frame(_px(v)), 24, 168)
 
 
@@ -173,15 +161,9 @@ def W14_drawdown(v):
 _LAGS = (1, 2, 5, 24)
 
 
-@query(f"with {_DENSE}, l as (select asset, x, unnest([1, 2, 3]) as lag, unnest([lag(x, 1) over w, lag(x, 2) over w, lag(x, 3) over w]) as y from x {_W}) select asset, lag, round(corr(x, y), 6) as acf, count(*) as n from l where x is not null and y is not null group by 1, 2", "bars_h")
-def W15_W16_autocorrelation(v):
-    """Correlation of a series with itself at several lags, within each asset."""
-    return series.autocorrelation(_hourly_x(v), "asset", "ts", "x", 3).select("asset", "lag", r6("acf"), "n")
-
-
 @query(f"with {_DENSE}, l as (select asset, x, unnest([1, 2, 3, 4, 5]) as lag, unnest([lag(x, 1) over w, lag(x, 2) over w, lag(x, 3) over w, lag(x, 4) over w, lag(x, 5) over w]) as y from x {_W}) select asset, lag, round(corr(x, y), 6) as acf, count(*) as n from l where x is not null and y is not null group by 1, 2", "bars_h")
-def W15_W16_autocorrelation_whole(v):
-    """The same up to lag 5."""
+def W15_W16_autocorrelation(v):
+    """Correlation of a series with itself up to lag 5, within each asset."""
     return series.autocorrelation(_hourly_x(v), "asset", "ts", "x", 5).select("asset", "lag", r6("acf"), "n")
 
 
@@ -206,20 +188,12 @@ def W20_walk_forward(v):
     return v.spark.createDataFrame(rows, "train_start string, train_end string, test_start string, test_end string")
 
 
-@query("""select w.k, d.asset, count(*) as n_rows, round(avg(d.close), 6) as mean_close from ohlcv_d d join (select i as k, timestamp '1996-01-01' + to_months(cast(3 * i as integer)) as a, timestamp '1996-01-01' + to_months(cast(3 * i + 12 as integer)) as b from range(0, 12) t(i)) w on d.open_time >= w.a and d.open_time <= w.b group by 1, 2""", "ohlcv_d")
-def W21_window_scans(v):
-    """Rows of each window, both end days included; the windows are a short plan-time list."""
-    spans = [(k, w[0], w[2]) for k, w in enumerate(series.walk_forward_windows(dt.date(1996, 1, 1), dt.date(2003, 1, 1))[:12])]
-    hits = F.array_compact(F.array(*[F.when((F.col("open_time") >= F.lit(str(a)).cast("timestamp")) & (F.col("open_time") <= F.lit(str(b)).cast("timestamp")), F.lit(k)) for k, a, b in spans]))
-    return v.ohlcv_d.withColumn("k", F.explode(hits)).groupBy("k", "asset").agg(F.count("*").alias("n_rows"), r6(F.avg("close"), "mean_close")).withColumn("k", F.col("k").cast("bigint"))
-
-
 @query("""with e as (select cast(date_trunc('month', min(open_time)) as timestamp) as lo, max(open_time) as hi from ohlcv_d),
 i as (select lo, hi, unnest(generate_series(0, date_diff('month', lo, hi) // 3)) as k from e),
 s as (select k, hi, lo + to_months(cast(3 * k as integer)) as a, lo + to_months(cast(3 * k + 12 as integer)) as b, lo + to_months(cast(3 * k + 15 as integer)) as c from i),
 w as (select k, 'train' as part, a as lo, b as hi from s where b < hi union all select k, 'test', b, least(c, hi) from s where b < hi)
 select w.k, w.part, d.asset, count(*) as n_rows, round(avg(d.close), 6) as mean_close from ohlcv_d d join w on d.open_time >= w.lo and d.open_time <= w.hi group by 1, 2, 3""", "ohlcv_d")
-def W21_window_scans_whole(v):
+def W21_window_scans(v):
     """Rows of the training and the test span of every window from the table's first month to its last day, both
     end days included."""
     ends = v.ohlcv_d.agg(F.min("open_time").alias("lo"), F.max("open_time").alias("hi")).first()

@@ -8,35 +8,43 @@ from tidewell.functions.numeric import corr, ratio
 from tidewell.operators import pit, series, stats
 from tidewell.plans.fixtures import r6, registry
 from tidewell.plans.series_queries import _R, _returns as _hourly_returns, vol_frame
+from tidewell.sources.scratch import materialise
 
 QUERIES, SQL, query = registry()
 
 _SPLIT = "2024-01-15 00:00:00"
-#: Hourly features of each asset, forward returns of 1 and 6 bars, and the era of each bar.
-_BASE = """feat as (select asset, date_trunc('hour', published_at) + interval 1 hour as ts, sum(polarity) as f1, avg(magnitude) as f2, cast(count(*) as double) as f3 from ev group by 1, 2),
+_HORIZONS = (1, 4, 12, 24, 48, 72, 120)
+#: Hourly features of each asset, forward returns over all horizons, and the era of each bar.
+_BASE = f"""feat as (select asset, date_trunc('hour', published_at) + interval 1 hour as ts, sum(polarity) as f1, avg(magnitude) as f2, cast(count(*) as double) as f3 from ev group by 1, 2),
 px as (select asset, open_time as ts, close from ohlcv_h),
-ret as (select asset, ts, lead(close, 1) over w / close - 1 as y1, lead(close, 6) over w / close - 1 as y6 from px window w as (partition by asset order by ts)),
-j as (select f.asset, f.ts, f1, f2, f3, y1, y6, case when f.ts >= timestamp '2024-01-15' then 'late' else 'early' end as era from feat f join ret r on r.asset = f.asset and r.ts = f.ts),
-long as (select asset, ts, era, 'f1' as feature, f1 as x, y1, y6 from j union all select asset, ts, era, 'f2', f2, y1, y6 from j union all select asset, ts, era, 'f3', f3, y1, y6 from j),
-grid as (select asset, ts, era, feature, x, 1 as h, y1 as y from long union all select asset, ts, era, feature, x, 6, y6 from long)"""
+ret as (select asset, ts, {', '.join(f'lead(close, {h}) over w / close - 1 as y{h}' for h in _HORIZONS)} from px window w as (partition by asset order by ts)),
+j as (select f.asset, f.ts, f1, f2, f3, {', '.join(f'y{h}' for h in _HORIZONS)}, case when f.ts >= timestamp '2024-01-15' then 'late' else 'early' end as era from feat f join ret r on r.asset = f.asset and r.ts = f.ts),
+hz as (select asset, ts, era, f1, f2, f3, unnest({list(_HORIZONS)}) as h, unnest([{', '.join(f'y{h}' for h in _HORIZONS)}]) as y from j),
+grid as ({' union all '.join(f"select asset, ts, era, '{f}' as feature, {f} as x, h, y from hz" for f in ('f1', 'f2', 'f3'))})"""
 
 
-def _joined(v):
-    feat = v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(
+def _features(v):
+    return v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(
         F.sum("polarity").alias("f1"), F.avg("magnitude").alias("f2"), F.count("*").cast("double").alias("f3")
     )
-    w = series.by()
+
+
+def _era():
+    return F.when(F.col("ts") >= F.lit(_SPLIT).cast("timestamp"), "late").otherwise("early")
+
+
+def _joined(v):
     px = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close")
-    ret = px.select("asset", "ts", series.forward_return(F.col("close"), 1, w).alias("y1"), series.forward_return(F.col("close"), 6, w).alias("y6"))
-    era = F.when(F.col("ts") >= F.lit(_SPLIT).cast("timestamp"), "late").otherwise("early")
-    return feat.join(ret, ["asset", "ts"]).withColumn("era", era)
+    ret = px.select("asset", "ts", *[series.forward_return(F.col("close"), h, series.by()).alias(f"y{h}") for h in _HORIZONS])
+    return _features(v).join(ret, ["asset", "ts"]).withColumn("era", _era())
+
+
+def _by_horizon(j, *columns):
+    return j.select(*columns, F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"y{h}").alias("y")) for h in _HORIZONS])))
 
 
 def _grid(v):
-    long = stats.unpivot(_joined(v), ["asset", "ts", "era", "y1", "y6"], ["f1", "f2", "f3"])
-    return long.select("asset", "ts", "era", "feature", "x", F.explode(F.array(F.struct(F.lit(1).alias("h"), F.col("y1").alias("y")), F.struct(F.lit(6).alias("h"), F.col("y6").alias("y")))).alias("g")).select(
-        "asset", "ts", "era", "feature", "x", "g.h", "g.y"
-    )
+    return stats.unpivot(_by_horizon(_joined(v), "asset", "ts", "era", "f1", "f2", "f3"), ["asset", "ts", "era", "h", "y"], ["f1", "f2", "f3"])
 
 
 def _prod(cell: str, rank: bool, source: str = "grid") -> str:
@@ -58,20 +66,6 @@ def M3_rank_ic(v):
     return p.groupBy("asset", "feature", "h").agg(F.count("*").alias("n"), r6(F.avg("z"), "ic"))
 
 
-_NW = """q as (select *, row_number() over (partition by {c} order by ts) as rn, count(*) over (partition by {c}) as n, avg(z) over (partition by {c}) as m from pr),
-dv as (select {c}, rn, n, m, z - m as d, least(6, n // 4) as l from q),
-s0 as (select {c}, any_value(n) as n, any_value(m) as m, sum(d * d) / any_value(n) as s from dv group by all),
-s1 as (select {a}, sum(2.0 * (1.0 - (a.rn - b.rn) / (a.l + 1.0)) * a.d * b.d / a.n) as s from dv a join dv b on {on} and a.rn - b.rn between 1 and a.l group by all)"""
-
-
-@query(f"""with {_BASE}, {_prod(_CELL, True)}, {_NW.format(c=_CELL, a='a.asset, a.feature, a.h', on='a.asset = b.asset and a.feature = b.feature and a.h = b.h')}
-select s0.asset, s0.feature, s0.h, s0.n, round(m, 6) as mean, round(case when s0.n >= 30 and s0.s + coalesce(s1.s, 0) > 0 then m / sqrt((s0.s + coalesce(s1.s, 0)) / s0.n) end, 6) as t from s0 left join s1 on s1.asset = s0.asset and s1.feature = s0.feature and s1.h = s0.h""", "ohlcv_h")
-def M4_M7_newey_west_grid(v):
-    """M4 M7: the IC grid with Newey-West t, one plan for all cells."""
-    p = stats.ic_products(_grid(v), ["asset", "feature", "h"], rank=True)
-    return stats.newey_west(p, ["asset", "feature", "h"], "ts", "z", 6).select("asset", "feature", "h", "n", r6("mean"), r6("t"))
-
-
 _CS = """ok as (select feature, h, ts, {x} as x, {y} as y from grid where x is not null and y is not null),
 ic as (select feature, h, ts, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) as ic from ok group by 1, 2, 3 having count(*) >= 4 and stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12)"""
 _RK = "rank() over (partition by feature, h, ts order by {0}) + (count(*) over (partition by feature, h, ts, {0}) - 1) / 2.0"
@@ -102,22 +96,25 @@ def M6_composites(v):
 _BUCKET = "case when f2 > 0.55 then 'positive' when f2 < 0.45 then 'negative' else 'unsure' end"
 
 
-@query(f"""with {_BASE}, m as (select asset, ts, f1, f2, y6, y6 - avg(y6) over (partition by ts) as adj, y6 - max(case when asset = 'A0' then y6 end) over (partition by ts) as ref from j)
-select {_BUCKET} as bucket, count(*) as n, round(avg(y6), 6) as car_raw, round(avg(adj), 6) as car_mktadj, round(avg(ref), 6) as car_refadj, round(stddev_pop(y6), 6) as sd from m where abs(f1) >= 0.4 and y6 is not null group by 1""", "ohlcv_h")
+@query(f"""with {_BASE}, m as (select asset, ts, h, f1, f2, y, y - avg(y) over (partition by ts, h) as adj, y - max(case when asset = 'A0' then y end) over (partition by ts, h) as ref from hz)
+select {_BUCKET} as bucket, h, count(*) as n, round(avg(y), 6) as car_raw, round(avg(adj), 6) as car_mktadj, round(avg(ref), 6) as car_refadj, round(stddev_pop(y), 6) as sd from m where abs(f1) >= 0.4 and y is not null group by 1, 2""", "ohlcv_h")
 def M9_F3_event_study(v):
-    """Mean forward return after strong events by bucket, raw and adjusted."""
-    t = Window.partitionBy("ts")
-    m = _joined(v).withColumns({"adj": F.col("y6") - F.avg("y6").over(t), "ref": F.col("y6") - F.max(F.when(F.col("asset") == "A0", F.col("y6"))).over(t)})
+    """Mean forward return after strong events by bucket and horizon, raw and adjusted."""
+    t = Window.partitionBy("ts", "h")
+    m = _by_horizon(_joined(v), "asset", "ts", "f1", "f2").withColumns({"adj": F.col("y") - F.avg("y").over(t), "ref": F.col("y") - F.max(F.when(F.col("asset") == "A0", F.col("y"))).over(t)})
     bucket = F.when(F.col("f2") > 0.55, "positive").when(F.col("f2") < 0.45, "negative").otherwise("unsure")
-    return m.where((F.abs("f1") >= 0.4) & F.col("y6").isNotNull()).groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("n"), r6(F.avg("y6"), "car_raw"), r6(F.avg("adj"), "car_mktadj"), r6(F.avg("ref"), "car_refadj"), r6(F.stddev_pop("y6"), "sd")
+    return m.where((F.abs("f1") >= 0.4) & F.col("y").isNotNull()).groupBy(bucket.alias("bucket"), "h").agg(
+        F.count("*").alias("n"), r6(F.avg("y"), "car_raw"), r6(F.avg("adj"), "car_mktadj"), r6(F.avg("ref"), "car_refadj"), r6(F.stddev_pop("y"), "sd")
     )
 
 
-@query(f"""with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3) select feature, h, round(avg(r), 6) as ic, count(r) as n_assets from c group by 1, 2""", "ohlcv_h")
+@query(f"""with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3)
+select feature, h, round(avg(r), 6) as ic, count(r) as n_assets, round(case when count(r) > 1 then avg(r) - 1.96 * stddev_samp(r) / sqrt(count(r)) end, 6) as lo, round(case when count(r) > 1 then avg(r) + 1.96 * stddev_samp(r) / sqrt(count(r)) end, 6) as hi from c group by 1, 2""", "ohlcv_h")
 def M11_ic_profile(v):
+    """Mean of the assets' correlations by horizon, with a normal interval over the assets."""
     c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(corr("x", "y").alias("r"))
-    return c.groupBy("feature", "h").agg(r6(F.avg("r"), "ic"), F.count("r").alias("n_assets"))
+    half = F.when(F.count("r") > 1, F.stddev_samp("r") * 1.96 / F.sqrt(F.count("r")))
+    return c.groupBy("feature", "h").agg(r6(F.avg("r"), "ic"), F.count("r").alias("n_assets"), r6(F.avg("r") - half, "lo"), r6(F.avg("r") + half, "hi"))
 
 
 _SIDES = "s as (select asset, event_type, polarity, case when model_version like '%8b%' then 0 else 1 end as side from er where polarity is not null)"
@@ -210,20 +207,35 @@ def M25_fixed_effects(v):
     return stats.fixed_effects_residual(j, ["asset"], ["asset", "hr"], "y", "x1", "x2").select("asset", "ts", r6("resid"))
 
 
-@query(f"""with {_BASE}, {_prod('asset, feature, h, era', True)} select asset, feature, h, round(avg(z), 6) as ic, count(*) as n from pr group by 1, 2, 3""", "ohlcv_h")
+#: Non-zero feature values that a regime needs to take part.
+_LEAST_NONZERO = 300
+_WITHIN = f"kept as (select * from (select *, count(case when x <> 0 and y is not null then 1 end) over (partition by asset, feature, h, era) as nz from grid) where nz >= {_LEAST_NONZERO})"
+
+
+@query(f"""with {_BASE}, {_WITHIN}, {_prod('asset, feature, h, era', True, 'kept')} select asset, feature, h, round(avg(z), 6) as ic, count(*) as n from pr group by 1, 2, 3""", "ohlcv_h")
 def M26_within_era_ic(v):
-    """Products standardised inside each era, then pooled."""
-    p = stats.ic_products(_grid(v), ["asset", "feature", "h", "era"], rank=True)
+    """Products of ranks standardised inside each regime that has at least 300 non-zero values, then pooled."""
+    nz = F.count(F.when((F.col("x") != 0) & F.col("y").isNotNull(), 1)).over(Window.partitionBy("asset", "feature", "h", "era"))
+    kept = _grid(v).withColumn("nz", nz).where(F.col("nz") >= _LEAST_NONZERO)
+    p = stats.ic_products(kept, ["asset", "feature", "h", "era"], rank=True)
     return p.groupBy("asset", "feature", "h").agg(r6(F.avg("z"), "ic"), F.count("*").alias("n"))
 
 
-@query(f"""with {_BASE}, o as (select *, x - avg(x) over e as xe, y - avg(y) over e as ye from grid where x is not null and y is not null window e as (partition by asset, feature, h, era)),
-c as (select asset, feature, h, corr(x, y) as pooled, corr(xe, ye) as within_ from o group by 1, 2, 3) select feature, h, round(avg(pooled), 6) as pooled, round(avg(within_), 6) as within_era, count(*) as n_assets from c group by 1, 2""", "ohlcv_h")
+def _in_rank(c: str) -> str:
+    over = "partition by asset, feature, h, era"
+    return f"case when {c} is not null then rank() over ({over}, {c} is null order by {c}) + (count(*) over ({over}, {c}) - 1) / 2.0 end"
+
+
+@query(f"""with {_BASE}, o as (select *, {_in_rank('x')} as xr, {_in_rank('y')} as yr from grid),
+z as (select *, (xr - avg(xr) over e) / nullif(stddev_pop(xr) over e, 0) as xz, (yr - avg(yr) over e) / nullif(stddev_pop(yr) over e, 0) as yz from o window e as (partition by asset, feature, h, era)),
+c as (select asset, feature, h, corr(x, y) as pooled, corr(xz, yz) as within_ from z where x is not null and y is not null group by 1, 2, 3) select feature, h, round(avg(pooled), 6) as pooled, round(avg(within_), 6) as within_era, count(*) as n_assets from c group by 1, 2""", "ohlcv_h")
 def M27_pooled_vs_within(v):
-    """Correlation pooled over eras beside the one with era means taken out."""
-    e = Window.partitionBy("asset", "feature", "h", "era")
-    o = _grid(v).where("x is not null and y is not null").withColumns({"xe": F.col("x") - F.avg("x").over(e), "ye": F.col("y") - F.avg("y").over(e)})
-    c = o.groupBy("asset", "feature", "h").agg(corr("x", "y").alias("p"), corr("xe", "ye").alias("q"))
+    """Correlation pooled over regimes beside that of ranks standardised inside each, ranked before incomplete rows go."""
+    cell = ["asset", "feature", "h", "era"]
+    e = Window.partitionBy(*cell)
+    o = _grid(v).withColumns({"xr": series.average_rank("x", cell), "yr": series.average_rank("y", cell)})
+    z = o.withColumns({f"{c}z": ratio(F.col(f"{c}r") - F.avg(f"{c}r").over(e), F.stddev_pop(f"{c}r").over(e)) for c in "xy"}).where("x is not null and y is not null")
+    c = z.groupBy("asset", "feature", "h").agg(corr("x", "y").alias("p"), corr("xz", "yz").alias("q"))
     return c.groupBy("feature", "h").agg(r6(F.avg("p"), "pooled"), r6(F.avg("q"), "within_era"), F.count("*").alias("n_assets"))
 
 
@@ -234,45 +246,6 @@ def M28_era_table(v):
     return t.groupBy("era").agg(F.count("*").alias("n"), r6(F.avg("f"), "mean_feature"), r6(F.avg("y"), "mean_return"), r6(corr(F.when(both, F.col("f")), F.when(both, F.col("y"))), "r"))
 
 
-_AR = """px as (select asset, open_time as ts, ln(close) as lp from ohlcv_h), mk as (select ts, sum(lp) as tot, count(*) as n from px group by 1 having count(*) = 5),
-e as (select item_id, asset, event_type, confidence, magnitude, polarity, date_trunc('hour', published_at) + interval 1 hour as t0 from ev),
-k as (select e.*, q.k, e.t0 + q.k * interval 1 hour as t1 from e, (values (1), (6)) q(k)),
-a as (select k.*, b.lp - a.lp as da, (mb.tot - b.lp - (ma.tot - a.lp)) / 4.0 as dm from k join px a on a.asset = k.asset and a.ts = k.t0 join px b on b.asset = k.asset and b.ts = k.t1 join mk ma on ma.ts = k.t0 join mk mb on mb.ts = k.t1)"""
-
-
-def _abnormal(v, weeks=(0,)):
-    """Abnormal log return from an event's first bar over k bars, against the market without the asset. With
-    `weeks`, the same clock time so many weeks earlier as well."""
-    px = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), F.log("close").alias("lp"))
-    market = px.groupBy("ts").agg(F.sum("lp").alias("tot"), F.count("*").alias("n")).where("n = 5").drop("n")
-    full = px.join(market, "ts")
-    e = v.ev.select("item_id", "asset", "event_type", "confidence", "magnitude", "polarity", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("t0"))
-    k = e.withColumn("k", F.explode(F.array(F.lit(1), F.lit(6)))).withColumn("w", F.explode(F.array(*[F.lit(w) for w in weeks])))
-    hours = lambda n: n.cast("bigint") * F.lit(pit.HOUR_US)
-    k = k.withColumn("ta", F.timestamp_micros(F.unix_micros("t0") - hours(F.col("w") * 168))).withColumn("tb", F.timestamp_micros(F.unix_micros("ta") + hours(F.col("k"))))
-    a = full.select("asset", F.col("ts").alias("ta"), F.col("lp").alias("la"), F.col("tot").alias("ma"))
-    b = full.select("asset", F.col("ts").alias("tb"), F.col("lp").alias("lb"), F.col("tot").alias("mb"))
-    j = k.join(a, ["asset", "ta"]).join(b, ["asset", "tb"])
-    da = F.col("lb") - F.col("la")
-    return j.withColumn("ar", da - (F.col("mb") - F.col("lb") - (F.col("ma") - F.col("la"))) / F.lit(4.0))
-
-
-@query(f"with {_AR} select item_id, asset, k, round(da - dm, 6) as ar from a", "ohlcv_h")
-def M29_J11_abnormal_return(v):
-    return _abnormal(v).select("item_id", "asset", "k", r6("ar"))
-
-
-@query(f"""with {_AR}, s as (select *, unnest(list_filter(['all', case when confidence >= 0.8 then 'high_conf' end, case when magnitude >= 0.6 then 'high_mag' end, case when event_type in ('hack', 'regulation', 'listing', 'depeg') then event_type end], lambda x: x is not null)) as subset from a),
-d as (select subset, k, date_trunc('day', t0) as day, avg((da - dm) * sign(polarity)) as m from s where abs(polarity) >= 0.2 group by 1, 2, 3)
-select subset, k, round(avg(m), 6) as mean, round(case when count(*) >= 10 and stddev_samp(m) > 0 then avg(m) / (stddev_samp(m) / sqrt(count(*))) end, 6) as t, count(*) as days from d group by 1, 2""", "ohlcv_h")
-def M30_M31_F8_day_clustered(v):
-    """Signed abnormal returns of overlapping event subsets, one vote a day."""
-    a = _abnormal(v).where(F.abs("polarity") >= 0.2)
-    subset = F.array_compact(F.array(F.lit("all"), F.when(F.col("confidence") >= 0.8, "high_conf"), F.when(F.col("magnitude") >= 0.6, "high_mag"), F.when(F.col("event_type").isin(*pit.FLAGS), F.col("event_type"))))
-    s = a.withColumn("subset", F.explode(subset)).withColumn("day", F.date_trunc("day", "t0")).withColumn("x", F.col("ar") * F.signum("polarity"))
-    return stats.day_clustered(s, ["subset", "k"], "day", "x").select("subset", "k", r6("mean"), r6("t"), "days")
-
-
 @query("""with m as (select max(published_at) as now from er), c as (select event_type, count(case when published_at >= now - interval 1 day then 1 end) as cur, count(case when published_at < now - interval 1 day then 1 end) as prior from er, m where published_at < now and published_at >= now - interval 7 day group by 1)
 select round(sum(abs(cur / nullif(cast((select sum(cur) from c) as double), 0) - prior / nullif(cast((select sum(prior) from c) as double), 0))) / 2.0, 6) as drift, cast(sum(cur) as bigint) as n_current, cast(sum(prior) as bigint) as n_prior from c""", "er")
 def M32_type_drift(v):
@@ -349,22 +322,6 @@ def J5_F12_align_and_fill(v):
     return p.join(f, ["asset", "ts"], "left").select("asset", "ts", "close", r6("x"), r6(F.coalesce("x", F.lit(0.0)), "filled"))
 
 
-_PLACEBO = """px as (select asset, open_time as ts, ln(close) as lp from ohlcv_h), mk as (select ts, sum(lp) as tot from px group by 1 having count(*) = 5),
-e as (select item_id, asset, event_type, date_trunc('hour', published_at) + interval 1 hour as t0 from ev),
-k as (select e.*, q.k, p.w, e.t0 - p.w * interval 7 day as ta, e.t0 - p.w * interval 7 day + q.k * interval 1 hour as tb from e, (values (1), (6)) q(k), (values (0), (1), (2), (3), (4)) p(w)),
-a as (select k.item_id, k.event_type, k.k, k.w, k.t0, abs(b.lp - a.lp - (mb.tot - b.lp - (ma.tot - a.lp)) / 4.0) as x from k join px a on a.asset = k.asset and a.ts = k.ta join px b on b.asset = k.asset and b.ts = k.tb join mk ma on ma.ts = k.ta join mk mb on mb.ts = k.tb),
-g as (select item_id, event_type, k, date_trunc('day', any_value(t0)) as day, max(case when w = 0 then x end) - avg(case when w > 0 then x end) as x from a group by 1, 2, 3),
-d as (select event_type, k, day, avg(x) as m from g where x is not null group by 1, 2, 3)"""
-
-
-@query(f"with {_PLACEBO} select event_type, k, round(avg(m), 6) as mean, round(case when count(*) >= 10 and stddev_samp(m) > 0 then avg(m) / (stddev_samp(m) / sqrt(count(*))) end, 6) as t, count(*) as days from d group by 1, 2", "ohlcv_h")
-def M31_placebo_excess(v):
-    """Size of the abnormal return less its mean size at the same clock time one to four weeks earlier."""
-    a = _abnormal(v, (0, 1, 2, 3, 4)).withColumn("x", F.abs("ar"))
-    g = a.groupBy("item_id", "event_type", "k").agg(F.date_trunc("day", F.max("t0")).alias("day"), (F.max(F.when(F.col("w") == 0, F.col("x"))) - F.avg(F.when(F.col("w") > 0, F.col("x")))).alias("x"))
-    return stats.day_clustered(g, ["event_type", "k"], "day", "x").select("event_type", "k", r6("mean"), r6("t"), "days")
-
-
 @query(None)
 def M18_boosted_trees(v):
     """Boosted trees as the second model, fitted on the bars before the split and scored after it."""
@@ -427,7 +384,7 @@ a as (select ka.*, p.lp - la as raw_ar, p.lp - la - beta * round(p.others - ma,
 
 
 @query(f"with {_SHORT} select item_id, asset, k, round(ar, 6) as ar, round(raw_ar, 6) as raw_ar from a where w = 0", "ohlcv_h")
-def M29_J11_abnormal_return_whole(v):
+def M29_J11_abnormal_return(v):
     """Abnormal returns at minute offsets before and after each event, with trailing beta."""
     a = abnormal_minutes(v.ev.select("item_id", "asset", "published_at"), minute_prices(v.ev), _hourly_returns(v))
     return a.select("item_id", "asset", "k", r6("ar"), r6("raw_ar"))
@@ -446,7 +403,7 @@ s as (select *, unnest({_SUBSETS}) as subset from g), c as (select subset, count
 x as ({' union all '.join(f"select subset, k, t0, '{m}' as measure, {x.format(p=_POLAR)} as x from s" for m, x in _MEASURES.items())}),
 d as (select subset, k, measure, date_trunc('day', t0) as day, avg(x) as m from x where x is not null group by 1, 2, 3, 4)
 select d.subset, k, measure, round(avg(m), 6) as mean, round(case when count(*) >= 10 and stddev_samp(m) > 0 then avg(m) / (stddev_samp(m) / sqrt(count(*))) end, 6) as t, count(*) as days, any_value(c.n) as n from d join c on c.subset = d.subset group by 1, 2, 3""", "ohlcv_h")
-def M30_M31_F8_day_clustered_whole(v):
+def M30_M31_F8_day_clustered(v):
     """Signed, positive and negative means and the size beyond that of one to four weeks earlier, of
     overlapping subsets of at least 30 events at all minute offsets, one vote a day."""
     e = v.ev.select("item_id", "asset", "published_at", "event_type", "confidence", "magnitude", "polarity")
@@ -463,15 +420,10 @@ def M30_M31_F8_day_clustered_whole(v):
     return stats.day_clustered(s, ["subset", "k", "measure"], "day", "x").join(n, "subset").select("subset", "k", "measure", r6("mean"), r6("t"), "days", "n")
 
 
-_HORIZONS = (1, 4, 12, 24, 48, 72, 120)
-
-
 def _cadence(v, cadence: str):
     """(asset, ts, feature, x, h, y, lag): features beside forward returns over all horizons, in rows of a clock common to
     all assets; daily ones are known at the midnight after their day, and their prices are those of midnight."""
-    f = v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(
-        F.sum("polarity").alias("f1"), F.avg("magnitude").alias("f2"), F.count("*").cast("double").alias("f3")
-    )
+    f = _features(v)
     px, bar = v.ohlcv_h.select("asset", F.col("open_time").alias("ts"), "close"), 1
     if cadence == "1d":
         bar, px = 24, px.where(F.hour("ts") == 0)
@@ -483,18 +435,52 @@ def _cadence(v, cadence: str):
     return long.select("asset", "ts", "feature", "x", F.inline("g")).withColumn("cadence", F.lit(cadence))
 
 
-@query(None)
-def M4_M7_newey_west_grid_whole(v):
-    """M3 M4 M5 M7 M8: cadence x feature x horizon x period x type x scope, with Newey-West t of as many lags as a return
-    spans further bars."""
-    era = F.when(F.col("ts") >= F.lit(_SPLIT).cast("timestamp"), "late").otherwise("early")
+def _clock(px: str, name: str, bar: int) -> str:
+    spans = [h for h in _HORIZONS if h % bar == 0]
+    return f"""c{name} as (select a.asset, t.ts, p.close from (select distinct ts from {px}) t cross join (select distinct asset from {px}) a left join {px} p on p.asset = a.asset and p.ts = t.ts),
+y{name} as (select asset, ts, unnest({spans}) as h, unnest({[h // bar - 1 for h in spans]}) as lag, unnest([{', '.join(f'lead(close, {h // bar}) over w / close - 1' for h in spans)}]) as y from c{name} window w as (partition by asset order by ts))"""
+
+
+def _tested(kind: str, rank: bool) -> str:
+    cell = "cadence, feature, h, lag, period"
+    ranked = lambda c, over: f"rank() over (partition by {over} order by {c}) + (count(*) over (partition by {over}, {c}) - 1) / 2.0" if rank else c
+    k = kind[0]
+    return f"""{k}1 as (select {cell}, asset, ts, {ranked('x', f'{cell}, asset')} as x, {ranked('y', f'{cell}, asset')} as y from pd),
+{k}2 as (select *, count(*) over w as n, stddev_pop(x) over w as sx, stddev_pop(y) over w as sy, avg(x) over w as mx, avg(y) over w as my from {k}1 window w as (partition by {cell}, asset)),
+{k}3 as (select {cell}, asset, ts, (x - mx) / sx * (y - my) / sy as z from {k}2 where n >= 30 and sx > 1e-12 and sy > 1e-12),
+{k}4 as (select {cell}, ts, {ranked('x', f'{cell}, ts')} as x, {ranked('y', f'{cell}, ts')} as y from pd),
+{k}5 as (select {cell}, ts, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) as z from {k}4 group by all having count(*) >= 4 and stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12),
+{k}6 as (select {cell}, '{kind}' as ic_type, 'ts_asset' as scope, asset, ts, z from {k}3 union all select {cell}, '{kind}', 'ts_all', 'ALL', ts, avg(z) from {k}3 group by all union all select {cell}, '{kind}', 'cs_pooled', 'ALL', ts, z from {k}5)"""
+
+
+_SCOPED = "cadence, feature, h, lag, period, ic_type, scope, asset"
+_FULL_GRID = f"""with feat as (select asset, date_trunc('hour', published_at) + interval 1 hour as ts, sum(polarity) as f1, avg(magnitude) as f2, cast(count(*) as double) as f3 from ev group by 1, 2),
+daily as (select asset, date_trunc('day', ts) + interval 24 hour as ts, sum(f1) as f1, avg(f2) as f2, sum(f3) as f3 from feat group by 1, 2),
+px as (select asset, open_time as ts, close from ohlcv_h), pxd as (select * from px where hour(ts) = 0), {_clock('px', 'h', 1)}, {_clock('pxd', 'd', 24)},
+w as (select '1h' as cadence, f.asset, f.ts, f1, f2, f3, h, lag, y from feat f join yh using (asset, ts) union all select '1d', f.asset, f.ts, f1, f2, f3, h, lag, y from daily f join yd using (asset, ts)),
+l as ({' union all '.join(f"select cadence, asset, ts, '{f}' as feature, {f} as x, h, lag, y from w" for f in ('f1', 'f2', 'f3'))}),
+pd as (select *, unnest(['full', case when ts >= timestamp '2024-01-15' then 'late' else 'early' end]) as period from l where x is not null and y is not null),
+{_tested('pearson', False)}, {_tested('spearman', True)}, t as (select * from p6 union all select * from s6),
+q as (select *, row_number() over c as rn, count(*) over (partition by {_SCOPED}) as n, avg(z) over (partition by {_SCOPED}) as m from t window c as (partition by {_SCOPED} order by ts)),
+dv as (select {_SCOPED}, rn, n, m, z - m as d, least(lag, n // 4) as lags from q),
+v0 as (select {_SCOPED}, any_value(n) as n, any_value(m) as m, sum(d * d) / any_value(n) as s from dv group by all),
+v1 as (select {', '.join(f'a.{c}' for c in _SCOPED.split(', '))}, sum(2.0 * (1.0 - (a.rn - b.rn) / (a.lags + 1.0)) * a.d * b.d / a.n) as s from dv a join dv b using ({_SCOPED}) where a.rn - b.rn between 1 and a.lags group by all)
+select cadence, feature, h, period, ic_type, scope, asset, n, round(m, 6) as ic, round(case when n >= 30 and v0.s + coalesce(v1.s, 0) > 0 then m / sqrt((v0.s + coalesce(v1.s, 0)) / n) end, 6) as t
+from v0 left join v1 using ({_SCOPED}) where scope <> 'cs_pooled' or n >= 30"""
+
+
+@query(_FULL_GRID, "ohlcv_h")
+def M4_M7_newey_west_grid(v):
+    """Cadence x feature x horizon x period (full, early, late) x type x scope, with Newey-West t of
+    as many lags as a return spans further bars."""
+    era = _era()
     g = _cadence(v, "1h").unionByName(_cadence(v, "1d")).where("x is not null and y is not null")
-    g = g.withColumn("period", F.explode(F.array(F.lit("full"), era)))
+    g = materialise(g.withColumn("period", F.explode(F.array(F.lit("full"), era))), "ic-grid")  # read by every type and scope
     cell = ["cadence", "feature", "h", "lag", "period", "ic_type"]
     tested = []
     for kind, rank in (("pearson", False), ("spearman", True)):
         p = g.withColumn("ic_type", F.lit(kind))
-        z = stats.ic_products(p, [*cell, "asset"], rank=rank).select(*cell, "ts", "asset", "z")
+        z = materialise(stats.ic_products(p, [*cell, "asset"], rank=rank).select(*cell, "ts", "asset", "z"), "ic-products")
         pooled = z.groupBy(*cell, "ts").agg(F.avg("z").alias("z"))
         cross = stats.cross_sectional_ic(p, "ts", "x", "y", rank, tuple(cell)).withColumnRenamed("ic", "z")
         tested += [t.select(*cell, F.lit(scope).alias("scope"), a.alias("asset"), "ts", "z") for t, scope, a in ((z, "ts_asset", F.col("asset")), (pooled, "ts_all", F.lit("ALL")), (cross, "cs_pooled", F.lit("ALL")))]
