@@ -85,31 +85,33 @@ def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
     before = lambda df: df.withColumn("_b", bucket).withColumnsRenamed({"id": "wid", "at": "wat", "hash": "whash"})
     inside = (F.col("at") > F.col("wat")) & (F.col("at") - F.col("wat") <= us) & (F.col("hash") != F.col("whash"))
 
-    def best(pairs: DataFrame) -> DataFrame:
-        """(id, sim) over candidate pairs (id, wid)."""
+    about = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("na2", "n_docs", "asset", "at", "hash")])
+
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        """The candidate pairs (id, wid) that may have the greatest cosine of their event, with what is known of it; `top`
+        is a lower bound of that cosine."""
         terms = pairs.join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w", "otf", "idf"), ["id", "w"], "left")
         both = F.col("tf") * F.col("idf")
         sums = terms.groupBy("id", "wid").agg(F.sum(both * F.col("otf") * F.col("idf")).alias("dot"), F.sum(both * both).alias("in2"), F.sum(F.when(F.col("idf").isNull(), F.col("tf") * F.col("tf"))).alias("out2"))
-        sums = sums.where("dot > 0").join(known.groupBy("id").agg(F.first("na2").alias("na2"), F.first("n_docs").alias("n_docs"), F.first("asset").alias("asset"), F.first("at").alias("at"), F.first("hash").alias("hash")), "id")
+        sums = sums.where("dot > 0").join(about, "id")
         out2 = F.coalesce("out2", F.lit(0))
-        most, least = F.lit(1.0), F.pow(F.log(1 + F.col("n_docs")) + 1, F.lit(2.0))
+        most = F.pow(F.log(1 + F.col("n_docs")) + 1, F.lit(2.0))
         cosine = lambda rest: F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + rest))
-        bounded = sums.withColumns({"hi": cosine(out2 * most), "lo": cosine(out2 * least)})
-        open_ = bounded.withColumn("top", F.max("lo").over(Window.partitionBy("id"))).where("hi >= top * (1 - 1e-9)")
-        left = materialise(open_.select("id", "wid", "asset", "at", "hash", "n_docs", "dot", "na2", "in2"), "novelty-open")
-        others = left.select("id", "wid").join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w"), ["id", "w"], "left_anti")
-        asked = others.select("id", "w").distinct().join(size, "id")
-        rare = _in_window(asked, indexed, ["asset", "w"], us).select("id", "w", idf(F.col("n_docs"), F.col("n")).alias("idf"))
-        rest = others.join(rare, ["id", "w"]).groupBy("id", "wid").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))).alias("rest"))
-        full = left.join(rest, ["id", "wid"], "left").withColumn("sim", F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + F.coalesce("rest", F.lit(0.0)))))
-        return full.groupBy("id").agg(F.max("sim").alias("sim"))
+        bounded = sums.withColumns({"hi": cosine(out2), "lo": cosine(out2 * most)}).withColumn("top", F.max("lo").over(Window.partitionBy("id")))
+        return bounded.where("hi >= top * (1 - 1e-9)").select("id", "wid", "asset", "at", "hash", "n_docs", "dot", "na2", "in2", "top")
 
     led = window(known.where("leads").select("id", "asset", "at", "hash", "w"))
-    first = materialise(led.join(before(indexed.drop("tf")), ["asset", "w", "_b"]).where(inside).select("id", "wid").distinct(), "novelty-candidates")
-    tried = materialise(best(first), "novelty-first")
-    left = size.join(tried.where(F.col("sim") >= SETTLED).select("id"), "id", "left_anti").select("id", "asset", "at", "hash")
+    first = led.join(before(indexed.drop("tf")), ["asset", "w", "_b"]).where(inside).select("id", "wid").distinct()
+    tried = materialise(open_pairs(first).where(F.col("top") >= SETTLED), "novelty-settled")
+    left = size.join(tried.select("id").distinct(), "id", "left_anti").select("id", "asset", "at", "hash")
     second = window(left).join(before(posts), ["asset", "_b"]).where(inside).select("id", "wid").distinct()
-    found = tried.unionByName(best(materialise(second, "novelty-whole"))).groupBy("id").agg(F.max("sim").alias("sim"))
+    pairs = materialise(tried.unionByName(open_pairs(second)), "novelty-open")
+    others = materialise(pairs.select("id", "wid").join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w"), ["id", "w"], "left_anti"), "novelty-others")
+    asked = others.select("id", "w").distinct().join(size, "id")
+    rare = _in_window(asked, indexed, ["asset", "w"], us).select("id", "w", idf(F.col("n_docs"), F.col("n")).alias("idf"))
+    rest = others.join(rare, ["id", "w"]).groupBy("id", "wid").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))).alias("rest"))
+    sim = F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + F.coalesce("rest", F.lit(0.0))))
+    found = pairs.join(rest, ["id", "wid"], "left").groupBy("id").agg(F.max(sim).alias("sim"))
     out = F.when(F.col("sim").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sim"))))
     return events.select("id").join(found, "id", "left").select("id", out.alias("novelty"))
 
