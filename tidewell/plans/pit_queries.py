@@ -207,14 +207,16 @@ def A15_report(v):
 _PAIRS = [(a, b) for i, a in enumerate(("polarity", "magnitude", "novelty", "confidence", "raw_tone")) for b in ("polarity", "magnitude", "novelty", "confidence", "raw_tone")[i + 1 :]]
 
 
-@query(" union all ".join(f"select '{a}' as f1, '{b}' as f2, round(corr({a}, {b}), 6) + 0.0 as r, count(case when {a} is not null and {b} is not null then 1 end) as n from ev" for a, b in _PAIRS), "ev")
+@query(" union all ".join(f"select '{a}' as f1, '{b}' as f2, round(corr({a}, {b}), 6) + 0.0 as r, coalesce(abs(corr({a}, {b})) > 0.7, false) as over_07, coalesce(abs(corr({a}, {b})) > 0.8, false) as over_08, count(case when {a} is not null and {b} is not null then 1 end) as n from ev" for a, b in _PAIRS), "ev")
 def A16_feature_correlations(v):
-    """All pairs of features in one aggregation, then unpivoted."""
+    """All pairs of features in one aggregation, then unpivoted, with those beyond 0.7 and 0.8 marked."""
     aggs = []
     for a, b in _PAIRS:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         aggs.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r"), F.count(F.when(both, 1)).alias("n")))
-    return v.ev.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.f1", "x.f2", r6(F.col("x.r"), "r"), "x.n")
+    return v.ev.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select(
+        "x.f1", "x.f2", r6(F.col("x.r"), "r"), *[F.coalesce(F.abs("x.r") > F.lit(t), F.lit(False)).alias(n) for t, n in ((0.7, "over_07"), (0.8, "over_08"))], "x.n"
+    )
 
 
 @query(" union all ".join(f"select '{f}' as flag, count(*) as n, round(sum(raw_tone), 6) as total, round(avg(raw_tone) / stddev_samp(raw_tone) * sqrt(8760.0), 6) as sharpe from ev where event_type = '{f}'" for f in pit.FLAGS), "ev")

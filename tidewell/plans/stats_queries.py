@@ -167,17 +167,6 @@ def M14_bootstrap_interval(v):
     return stats.bootstrap_sharpe(_returns(v), ["asset"], "ts", "r", 500, per_year=365.0)
 
 
-@query(None)
-def M18_M23_walk_forward_ridge(v):
-    """Ridge fitted on each asset's first 70 %, positions and Sharpe on both parts."""
-    j = _joined(v).where("y1 is not null").withColumn("k", F.percent_rank().over(series.by()))
-    j = j.withColumn("part", F.when(F.col("k") < 0.7, "in").otherwise("out"))
-    fit = stats.ridge_fit(j.where("part = 'in'"), ["asset"], ["f1", "f2", "f3"], "y1")
-    p = stats.predict(j, fit, ["asset"], ["f1", "f2", "f3"])
-    p = p.withColumn("pos", stats.position("signal", ["asset", "part"])).withColumn("pnl", F.col("pos") * F.col("y1"))
-    return p.groupBy("asset", "part").agg(F.count("*").alias("n"), stats.sharpe("pnl").alias("sharpe"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("hit_rate"))
-
-
 @query("""with h as (select asset, date_trunc('hour', published_at) as ts, sum(raw_tone) as x from ev where raw_tone is not null group by 1, 2), s as (select asset, ts, x, avg(x) over w as m, stddev_samp(x) over w as sd from h window w as (partition by asset))
 select asset, ts, round(case when sd > 1e-12 then greatest(-2.0, least(2.0, (x - m) / sd)) * 0.075 else 0.0 end, 6) as pos from s""", "ev")
 def M19_positions(v):
@@ -186,15 +175,6 @@ def M19_positions(v):
     return h.withColumn("pos", stats.position("x", ["asset"])).select("asset", "ts", r6("pos"))
 
 
-@query("""with px as (select asset, open_time as ts, close from ohlcv_d), w as (select asset, ts, close / lag(close, 5) over o - 1 as mom, lead(close) over o / close - 1 as nxt from px window o as (partition by asset order by ts))
-select asset, count(*) as n, round(avg(sign(mom) * nxt), 6) as momentum, round(avg(nxt), 6) as buy_hold from w where mom is not null and nxt is not null group by 1""", "ohlcv_d")
-def M20_baselines(v):
-    """Momentum sign and buy-and-hold (position 1) on next returns."""
-    w = Window.partitionBy("asset").orderBy("open_time")
-    px = v.ohlcv_d.select("asset", series.momentum(F.col("close"), 5, w).alias("mom"), series.forward_return(F.col("close"), 1, w).alias("nxt")).where("mom is not null and nxt is not null")
-    return px.groupBy("asset").agg(F.count("*").alias("n"), r6(F.avg(F.signum("mom") * F.col("nxt")), "momentum"), r6(F.avg("nxt"), "buy_hold"))
-
-
 _FE = """ok as (select asset, ts, era, f1 as x1, f2 as x2, ln(1 + y1 * y1) as y, hour(ts) as hr from j where y1 is not null and f1 is not null and f2 is not null),
 dm as (select *, y - avg(y) over c as dy, x1 - avg(x1) over c as d1, x2 - avg(x2) over c as d2 from ok window c as (partition by asset, hr)),
 sm as (select *, sum(d1 * d1) over g as s11, sum(d2 * d2) over g as s22, sum(d1 * d2) over g as s12, sum(d1 * dy) over g as t1, sum(d2 * dy) over g as t2 from dm window g as (partition by asset))"""
@@ -293,18 +273,6 @@ def M24_M25_volatility_residual(v):
     return stats.fixed_effects_residual(y, ["asset"], ["asset", "how"], "y", "x1", "x2").select("asset", "ts", r6("resid"))
 
 
-@query(None)
-def L5_X17_signal_table(v):
-    """Fitted on the bars before the split, applied to those after it; the z-score uses the training part only."""
-    j = _joined(v).where("y1 is not null")
-    cut = F.lit(_SPLIT).cast("timestamp")
-    fit = stats.ridge_fit(j.where(F.col("ts") < cut), ["asset"], ["f1", "f2", "f3"], "y1")
-    scored = stats.predict(j, fit, ["asset"], ["f1", "f2", "f3"])
-    base = scored.where(F.col("ts") < cut).groupBy("asset").agg(F.avg("signal").alias("m"), F.stddev_samp("signal").alias("sd"))
-    z = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), ratio(F.col("signal") - F.col("m"), F.col("sd"))))
-    return scored.where(F.col("ts") >= cut).join(base, "asset").select("asset", "ts", "signal", (F.coalesce(z, F.lit(0.0)) * 0.075).alias("position"))
-
-
 @query("""with a as (select asset, event_type, avg(case when model_version like '%8b%' then magnitude end) as p, avg(case when model_version like '%14b%' then magnitude end) as q, stddev_samp(case when model_version like '%8b%' then magnitude end) as sp, count(*) as n from er group by 1, 2)
 select event_type, round(avg(abs(p - q)), 6) as mean_gap, round(corr(p, q), 6) as r, cast(sum(n) as bigint) as n from a where p is not null and q is not null group by 1""", "er")
 def M35_contamination_report(v):

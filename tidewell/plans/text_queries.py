@@ -141,7 +141,8 @@ def T11_prompt_budget(v):
     return v.docs.select("doc_id", F.md5(X.extraction_prompt(F.col("lang"), F.col("text"), _SHOTS, limit=1300)).alias("prompt"))
 
 
-@query(None)
+@query("""select item_id, case when item_id % 5 = 3 then 'other' else event_type end as event_type, case when item_id % 5 = 3 then 0.0 else polarity end as polarity, case when item_id % 5 = 3 then 0.0 else magnitude end as magnitude,
+ cast(0.0 as double) as confidence, item_id % 5 = 3 as is_default_filled from ev""", "ev")
 def T12_T13_parse_output(v):
     """Model output in several states of repair, read with defaults."""
     i = F.col("item_id")
