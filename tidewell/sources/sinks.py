@@ -1,12 +1,12 @@
 """Partitioned Parquet stores with the write policies of the ingest and feature paths.
 
-Every write stages its files and swaps whole partitions at commit, so a reader sees the old or the new state. Only the
-partitions that a batch touches are read and rewritten.
+Every write stages its files and swaps partitions at commit, one after the other: a reader that comes in between sees
+some partitions as they were and some as they are. Only the partitions that a batch touches are read and rewritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidewell.operators.matching import upsert
 
@@ -44,9 +44,9 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition: list[str],
     once = upsert(df.limit(0), df, keys, "first_wins", order)
     old = _existing(spark, path)
     fresh = once if old is None else once.join(old.select(*keys), keys, "left_anti")
-    before = 0 if old is None else old.count()
-    fresh.repartition(*partition).write.mode("append").partitionBy(*partition).parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    fresh.repartition(*partition).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*partition).parquet(path)
+    return seen.get["n"]
 
 
 def archive_raw(df: DataFrame, path: str) -> None:
