@@ -63,8 +63,9 @@ def keep_first(
     the second, which is keyed by the identifier alone; a third of all rows under one identifier is spread evenly.
 
     Late arrivals: an identifier that comes back after its state expired passes the stores again, so every batch is
-    looked up in the identifiers already emitted. Rows older than the watermark never reach the stores; `settle`
-    adds those whose identifier has not been emitted.
+    looked up among the emitted identifiers that have expired, those `delay` or more behind the watermark of the last
+    batch; files that hold none are skipped by their statistics. Rows older than the watermark never reach the
+    stores; `settle` adds those whose identifier has not been emitted.
 
     Batches: what lies at a feed's path is taken in about `batches` micro-batches (files stay whole), or in ones of
     `max_bytes_per_trigger` of each feed.
@@ -90,10 +91,15 @@ def keep_first(
     )
     kept_schema = stream.schema
 
+    running: list = []
+
     def emit(batch: DataFrame, batch_id: int) -> None:
         if batch_id > 0:
             seen = batch.sparkSession.read.schema(T.StructType(kept_schema.fields + [T.StructField("batch", T.LongType())])).parquet(out)
-            batch = batch.join(seen.where(F.col("batch") < batch_id).select("key"), "key", "left_anti")
+            expired = F.lit(True)  # after a restart nothing is known of the watermark yet
+            if running and (last := running[0].lastProgress) is not None and (mark := (last["eventTime"] or {}).get("watermark")):
+                expired = F.col("event_time") <= F.lit(mark).cast("timestamp") - F.expr(f"interval {delay}")
+            batch = batch.join(seen.where((F.col("batch") < batch_id) & expired).select("key"), "key", "left_anti")
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     # Readers find a table even if no message ever comes.
@@ -101,6 +107,7 @@ def keep_first(
     # A stream takes its store from the session when it starts; the setting stays, so streams may start side by side.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = stream.writeStream.foreachBatch(emit).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.append(query)
     query.awaitTermination()
     return out
 
