@@ -125,4 +125,12 @@ def test_values_that_turn_hot_later(spark, feeds):
     assert all(r.t == us(2024, 1, 5, 12, 0, r.id) for r in first)
     later = normalise_instants(one(["2024-01-05 12:00:07"] * 500 + ["2024-02-01 00:00"]), "raw", "src", feeds, "t", path).collect()
     assert len(later) == 501 and {r.t for r in later} == {us(2024, 1, 5, 12, 0, 7), us(2024, 2, 1)}
-    assert spark.read.parquet(path).count() == 61
+    assert spark.read.parquet(f"{path}/*").count() == 61
+
+
+def test_versions_of_a_dictionary_in_one_plan(spark, feeds):
+    """Rows normalised by an older and by a newer version meet in one plan."""
+    path = fresh_path(spark, "dictionary")
+    one = lambda raw: spark.createDataFrame([(1, raw, "b.example")], "id int, raw string, src string")
+    parts = [normalise_instants(one(f"2024-01-0{d} 12:00:00"), "raw", "src", feeds, "t", path) for d in (1, 2, 3)]
+    assert sorted(r.t for r in parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()) == [us(2024, 1, d, 12) for d in (1, 2, 3)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.instants import CANONICAL, canonical_micros, with_instant
-from tidewell.sources.scratch import fresh_path, materialise
+from tidewell.sources.scratch import folders, fresh_path, materialise
 
 #: A value is hot when it makes up at least this share of all rows, so there are never more than 1/share of them.
 HOT_SHARE = 1 / 64
@@ -37,19 +37,16 @@ def grow_dictionary(values: DataFrame, feeds: DataFrame, path: str | None = None
     spark = values.sparkSession
     path = path or fresh_path(spark, "instant-dictionary")
     schema = "raw string, src string, instant_us bigint"
-    known = None
-    try:
-        known = spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - the first run has no dictionary yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    # Increments are folders of their own and a dictionary is a list of them, so that one plan may hold several versions.
+    before = folders(spark, path)
+    known = spark.read.schema(schema).parquet(*before) if before else None
     fresh = values if known is None else values.join(known.select("raw", "src"), match_null_safe(values, known), "left_anti")
     # Parsing costs far more than its bytes tell: an even spread over the cores, not a merge of small partitions.
     fresh = fresh.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     homes = feeds.select(F.col("source_domain").alias("_dom"), "home_tz", "date_order").dropDuplicates(["_dom"])
     parsed = with_instant(fresh.join(homes, fresh.src == homes["_dom"], "left"), "raw", "home_tz", "date_order", "instant_us")
-    parsed.select("raw", "src", "instant_us").write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    parsed.select("raw", "src", "instant_us").write.parquet(f"{path}/increment-{len(before):06d}")
+    return spark.read.schema(schema).parquet(*folders(spark, path))
 
 
 def normalise_instants(rows: DataFrame, raw: str, source: str, feeds: DataFrame, out: str = "published_us", path: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewell.functions.instants import CANONICAL
 from tidewell.operators import lateness, rolling
 from tidewell.operators.instants import normalise_instants, url_host
+from tidewell.sources.scratch import fresh_path
 from tidewell.sources.tables import table
 from tidewell.streaming import dedup
 
@@ -149,12 +150,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         df.select(F.lit(name).alias("tbl"), F.col("delivery_id").cast("string").alias("id"), F.coalesce("source_domain", url_host(F.col("url"))).alias("domain"), "published_at")
         for name, df in (("rss_items", rss), ("cryptopanic_posts", cp))
     ]
-    rows = news.unionByName(rest[0]).unionByName(rest[1]).where(~F.col("published_at").rlike(CANONICAL) & F.col("id").isNotNull())
-    timed = normalise_instants(rows, "published_at", "domain", table(spark, sf_dir, "feeds"))
-    found = timed.where("published_us is not null")
+    # Each table is an increment to one dictionary: what an earlier one has is not parsed again.
+    feeds, book = table(spark, sf_dir, "feeds"), fresh_path(spark, "instant-dictionary")
+    found = []
+    for rows in (news, *rest):
+        needed = rows.where(~F.col("published_at").rlike(CANONICAL) & F.col("id").isNotNull())
+        found.append(normalise_instants(needed, "published_at", "domain", feeds, path=book).where("published_us is not null").select("tbl", "id", "published_us"))
     # Only raw_news repeats rows; its identifiers come out once each.
-    once = found.where("tbl = 'raw_news'").groupBy("tbl", "id").agg(F.min("published_us").alias("published_us"))
-    return once.unionByName(found.where("tbl <> 'raw_news'").select("tbl", "id", "published_us"))
+    once = found[0].groupBy("tbl", "id").agg(F.min("published_us").alias("published_us"))
+    return once.unionByName(found[1]).unionByName(found[2])
 
 
 QUERIES = {

@@ -49,6 +49,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders within `path`, in the order of their names; none if there is no such path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath().toString()) for f in system.listStatus(p) if f.isDirectory()) if system.exists(p) else []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: lineage ends here and survives executor loss."""
     path = fresh_path(df.sparkSession, name)
