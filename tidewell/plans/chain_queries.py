@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions.extract import DOWN, KINDS, UP, rule_fields
-from tidewell.operators import series
+from tidewell.operators import pit, series
 from tidewell.plans.fixtures import r6, registry
 from tidewell.plans.series_queries import _DENSE, _hourly_x
 from tidewell.plans.text_queries import _BASE, _CUT, _SYMBOLS, _market_symbols, _redacted, _sum_votes
@@ -25,10 +25,10 @@ _SNAPSHOTS = {"2024-01-05": "symbol < 'M'", "2024-03-10": "true"}
 def universe_at(asked, snapshots):
     """(asked, ticker): for each date the tickers of the first snapshot of its month, else of the last one before it, else
     the fallback. `asked` (asked) and `snapshots` (snapshot, exchange, symbols array); dates are texts."""
-    dates = snapshots.select("snapshot").distinct()
-    same = F.substring("snapshot", 1, 7) == F.substring("asked", 1, 7)
-    near = asked.join(dates, same | (F.col("snapshot") <= F.col("asked")), "left")  # a few snapshots, one row each
-    chosen = near.groupBy("asked").agg(F.coalesce(F.min(F.when(same, F.col("snapshot"))), F.max(F.when(F.col("snapshot") <= F.col("asked"), F.col("snapshot")))).alias("snapshot"))
+    dates = snapshots.select("snapshot", F.to_timestamp("snapshot").alias("since")).distinct()
+    months = dates.groupBy(F.substring("snapshot", 1, 7).alias("month")).agg(F.min("snapshot").alias("of_month"))
+    at = asked.distinct().withColumns({"month": F.substring("asked", 1, 7), "at": F.to_timestamp("asked")})
+    chosen = pit.asof_join(at, dates, [], "at", "since", ["snapshot"]).join(months, "month", "left").select("asked", F.coalesce("of_month", "snapshot").alias("snapshot"))
     tickers = snapshots.select("snapshot", F.explode("symbols").alias("symbol")).select("snapshot", X.ticker_of(F.col("symbol")).alias("ticker")).where("ticker is not null").distinct()
     listed = chosen.join(tickers, "snapshot").select("asked", "ticker")
     rest = chosen.where("snapshot is null").select("asked", F.explode(F.array(*map(F.lit, FALLBACK))).alias("ticker"))
