@@ -23,6 +23,10 @@ hz as (select asset, ts, era, f1, f2, f3, unnest({list(_HORIZONS)}) as h, unnest
 grid as ({' union all '.join(f"select asset, ts, era, '{f}' as feature, {f} as x, h, y from hz" for f in ('f1', 'f2', 'f3'))})"""
 
 
+#: A flat side has no correlation.
+_CORR = "case when stddev_pop(x) > 0 and stddev_pop(y) > 0 then corr(x, y) end"
+
+
 def _features(v):
     return v.ev.groupBy("asset", (F.date_trunc("hour", "published_at") + F.expr("interval 1 hour")).alias("ts")).agg(
         F.sum("polarity").alias("f1"), F.avg("magnitude").alias("f2"), F.count("*").cast("double").alias("f3")
@@ -108,7 +112,7 @@ def M9_F3_event_study(v):
     )
 
 
-@query(f"""with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3)
+@query(f"""with {_BASE}, c as (select asset, feature, h, {_CORR} as r from grid where x is not null and y is not null group by 1, 2, 3)
 select feature, h, round(avg(r), 6) as ic, count(r) as n_assets, round(case when count(r) > 1 then avg(r) - 1.96 * stddev_samp(r) / sqrt(count(r)) end, 6) as lo, round(case when count(r) > 1 then avg(r) + 1.96 * stddev_samp(r) / sqrt(count(r)) end, 6) as hi from c group by 1, 2""", "ohlcv_h")
 def M11_ic_profile(v):
     """Mean of the assets' correlations by horizon, with a normal interval over the assets."""
@@ -208,7 +212,7 @@ def _in_rank(c: str) -> str:
 
 @query(f"""with {_BASE}, o as (select *, {_in_rank('x')} as xr, {_in_rank('y')} as yr from grid),
 z as (select *, (xr - avg(xr) over e) / nullif(stddev_pop(xr) over e, 0) as xz, (yr - avg(yr) over e) / nullif(stddev_pop(yr) over e, 0) as yz from o window e as (partition by asset, feature, h, era)),
-c as (select asset, feature, h, corr(x, y) as pooled, corr(xz, yz) as within_ from z where x is not null and y is not null group by 1, 2, 3) select feature, h, round(avg(pooled), 6) as pooled, round(avg(within_), 6) as within_era, count(*) as n_assets from c group by 1, 2""", "ohlcv_h")
+c as (select asset, feature, h, {_CORR} as pooled, case when stddev_pop(xz) > 0 and stddev_pop(yz) > 0 then corr(xz, yz) end as within_ from z where x is not null and y is not null group by 1, 2, 3) select feature, h, round(avg(pooled), 6) as pooled, round(avg(within_), 6) as within_era, count(*) as n_assets from c group by 1, 2""", "ohlcv_h")
 def M27_pooled_vs_within(v):
     """Correlation pooled over regimes beside that of ranks standardised inside each, ranked before incomplete rows go."""
     cell = ["asset", "feature", "h", "era"]
@@ -258,7 +262,7 @@ def F4_F5_holdout_split(v):
     return v.er.groupBy("model_version", "extraction_only", part.alias("part")).agg(F.count("*").alias("n"), r6(F.avg("polarity"), "mean"))
 
 
-@query(f"with {_BASE}, c as (select asset, feature, h, corr(x, y) as r from grid where x is not null and y is not null group by 1, 2, 3) select feature, arg_max(asset, row(abs(r), asset)) as asset, round(max(abs(r)), 6) as strongest from c where r is not null group by 1", "ohlcv_h")
+@query(f"with {_BASE}, c as (select asset, feature, h, {_CORR} as r from grid where x is not null and y is not null group by 1, 2, 3) select feature, arg_max(asset, row(abs(r), asset)) as asset, round(max(abs(r)), 6) as strongest from c where r is not null group by 1", "ohlcv_h")
 def O4_strongest_cell(v):
     c = _grid(v).where("x is not null and y is not null").groupBy("asset", "feature", "h").agg(corr("x", "y").alias("r")).where("r is not null")
     return c.groupBy("feature").agg(F.max_by("asset", F.struct(F.abs("r"), "asset")).alias("asset"), r6(F.max(F.abs("r")), "strongest"))
