@@ -88,6 +88,15 @@ def test_late_events(spark):
     assert lateness.combine(lateness.partial_aggregates(assigned.limit(0))).count() == 0
 
 
+def test_a_batch_with_many_refused(spark, monkeypatch):
+    monkeypatch.setattr(lateness, "REFUSED_A_FILE", 7)
+    rows = [(f"r{i}", D(2024, 1, 1), D(2024, 2, 1)) for i in range(90)] + [("ok", D(2024, 1, 1), D(2024, 1, 1)), ("r0", D(2024, 1, 1), D(2024, 2, 1))]
+    df = spark.createDataFrame(rows, "id string, published_at timestamp, arrived timestamp").withColumn("us", F.unix_micros("published_at"))
+    state = lateness.stored(spark, lateness.append_batches(lateness.assign_period(df, "us", "arrived"), None, "id"))
+    assert sorted(r.id for r in lateness.refused_records(state).collect()) == sorted(f"r{i}" for i in range(90))
+    assert [(r.n, r.n_refused, r.n_batches) for r in lateness.combine(state).collect()] == [(1, 91, 2)]
+
+
 def test_partials_merge_in_any_order(spark, small):
     a = problems._assigned_events(spark, small)
     whole = lateness.combine(lateness.partial_aggregates(a))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewell.sources.scratch import fresh_path
+from tidewell.sources.scratch import fresh_path, materialise
 
 _DAY = 86_400_000_000
 #: A UTC day of event time closes this long after its end.
 CLOSE_AFTER_US = 48 * 3_600_000_000
+#: Refused identifiers of one batch that one task writes.
+REFUSED_A_FILE = 1_000_000
 
 
 def assign_period(rows: DataFrame, event_us: str, arrival: str, close_after_us: int = CLOSE_AFTER_US) -> DataFrame:
@@ -56,16 +58,21 @@ def refused_rows(assigned: DataFrame, id_col: str) -> DataFrame:
 
 def append_batches(assigned: DataFrame, value: Column | None = None, id_col: str | None = None, path: str | None = None) -> str:
     """Stores the state of every arrival batch of `assigned` and returns its path: the partial aggregates per period, and
-    with `id_col` the identifiers that were refused. Running a batch again replaces that batch only (idempotent). A hot
-    batch is written by several tasks."""
-    path = path or fresh_path(assigned.sparkSession, "period-partials")
-    state = partial_aggregates(assigned, value)
+    with `id_col` the identifiers that were refused. Running a batch again replaces that batch only (idempotent). A batch
+    with many refused identifiers is written by several tasks."""
+    spark = assigned.sparkSession
+    path = path or fresh_path(spark, "period-partials")
+    partials = materialise(partial_aggregates(assigned, value), "partials")
+    state = partials.withColumn("id", F.lit(None).cast("string")).withColumn("_part", F.lit(0).cast("bigint"))
     if id_col is not None:
-        state = state.unionByName(refused_rows(assigned, id_col), allowMissingColumns=True)
-    else:
-        state = state.withColumn("id", F.lit(None).cast("string"))
+        # One row a batch: how many files of REFUSED_A_FILE identifiers it takes.
+        sizes = partials.groupBy(F.col("batch").alias("_batch")).agg(F.ceil(F.sum("n_refused") / F.lit(float(REFUSED_A_FILE))).alias("_n")).where("_n > 0")
+        named = refused_rows(assigned, id_col).join(sizes, F.col("batch").eqNullSafe(F.col("_batch")))
+        state = state.unionByName(named.select("period", "batch", "id", F.pmod(F.xxhash64("id"), "_n").alias("_part")), allowMissingColumns=True)
+    # Many small folders: a fixed number of tasks, as merging small partitions would leave one task to write them all.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (
-        state.hint("rebalance", F.col("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        state.repartition(tasks, "batch", "_part").drop("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch").parquet(path)
     )
     return path
