@@ -12,7 +12,7 @@ from tidewell.plans.series_queries import _DENSE, _hourly_x
 from tidewell.plans.text_queries import _BASE, _CUT, _SYMBOLS, _market_symbols, _redacted, _sum_votes
 from tidewell.sources import sinks
 from tidewell.sources.paged import PagedPosts
-from tidewell.sources.scratch import fresh_path
+from tidewell.sources.scratch import folders, fresh_path
 
 QUERIES, SQL, query = registry()
 
@@ -182,3 +182,17 @@ def L2_L3_live_chain(v):
     run.awaitTermination()
     stored = spark.read.schema("id bigint, day string, event_type string, polarity double, batch bigint").parquet(store)
     return stored.groupBy("day", "event_type").agg(F.count("*").alias("n"), r6(F.sum("polarity"), "polarity"))
+
+
+@query("""select asset, count(*) as n_now, count(*) + length(asset) as n_base, -length(asset) as change from er where asset is not null group by 1""", "er")
+def X15_baseline_diff(v):
+    """Results compared with those of the last dated folder before today's."""
+    path = fresh_path(v.spark, "results")
+    counts = v.er.where("asset is not null").groupBy("asset").agg(F.count("*").alias("n"))
+    for date, shift in (("2024-01-01", 7), ("2024-01-02", F.length("asset")), ("2024-01-03", 0)):
+        counts.withColumn("n", F.col("n") + shift).write.option("header", True).csv(f"{path}/{date}")
+    today = "2024-01-03"
+    baseline = max(f for f in folders(v.spark, path) if f.rsplit("/", 1)[-1] < today)
+    read = lambda p: v.spark.read.schema("asset string, n bigint").option("header", True).csv(p)
+    both = read(f"{path}/{today}").withColumnRenamed("n", "n_now").join(read(baseline).withColumnRenamed("n", "n_base"), "asset", "full")
+    return both.select("asset", "n_now", "n_base", (F.col("n_now") - F.col("n_base")).alias("change"))
