@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,6 +196,67 @@ def test_novelty_against_brute_force(spark):
         assert got[i] == pytest.approx(max(0, min(1, 1 - max(sims, default=0))), abs=1e-9), i
 
 
+def _novelty_by_hand(events, pool):
+    """The definition over plain rows (id, asset, ts, text, hash)."""
+    out = {}
+    for i, a, t, text, h in events:
+        window = [r for r in pool if None not in (a, t, h, r[1], r[2], r[4]) and r[1] == a and r[4] != h and t - 48 * H <= r[2] < t]
+        docs = [Counter((x or "").lower().split()) for x in (*(w[3] for w in window), text)]
+        n, df = len(docs), Counter(w for d in docs for w in d)
+        idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
+        norm = lambda d: math.sqrt(sum((c * idf[w]) ** 2 for w, c in d.items()))
+        own = docs[-1]
+        sims = [sum(c * o[w] * idf[w] ** 2 for w, c in own.items()) / (norm(own) * norm(o)) for o in docs[:-1] if o and own]
+        out[i] = max(0, min(1, 1 - max(sims, default=0)))
+    return out
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_novelty_over_batches_long_texts_and_edges(spark, batch):
+    rng = random.Random(11)
+    say = lambda k: " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(k))
+    at = lambda: T0 + dt.timedelta(minutes=15 * rng.randrange(4 * 150))
+    row = lambda i: (i, rng.choice("AAAB"), at(), say(rng.choice([0, 1, 4, 9, 14, 60])), f"h{rng.randrange(200)}")
+    rows = [row(i) for i in range(330)]
+    rows += [(400 + k, "A", at(), say(4000), f"l{k}") for k in range(8)]
+    # the window's two ends, the same instant, one word many times, upper case
+    edge = T0 + 96 * H
+    rows += [(500, "C", edge, "Old NEWS news news", "e0"), (501, "C", edge - 48 * H, "old one", "e1"), (502, "C", edge - 48 * H - dt.timedelta(microseconds=1), "news news", "e2"), (503, "C", edge, "old news", "e3"), (504, "C", edge + H, "news", "e0")]
+    rows += [(600, None, edge, "old news", "n0"), (601, "C", None, "old news", "n1"), (602, "C", edge + H, None, "n2"), (603, "C", edge + H, "old news", None), (604, "C", edge + 2 * H, "old news", "n4")]
+    shape = "id int, asset string, ts timestamp, text string, hash string"
+    frame = lambda x: spark.createDataFrame(x, shape)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = frame(rows)
+        got = {r.id: r.novelty for r in matching.novelty(df, df).collect()}
+        apart = {r.id: r.novelty for r in matching.novelty(frame(rows[::2]), frame(rows[1::2])).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == pytest.approx(_novelty_by_hand(rows, rows), abs=1e-9)
+    assert apart == pytest.approx(_novelty_by_hand(rows[::2], rows[1::2]), abs=1e-9)
+
+
+def test_novelty_writes_no_pairs(spark):
+    """Rows are shuffled at most twice, however many are in a window, and nothing is written besides."""
+    rng = random.Random(12)
+    rows = [(i, "A", T0 + dt.timedelta(minutes=i), " ".join(f"w{rng.randrange(40)}" for _ in range(10)), f"h{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, asset string, ts timestamp, text string, hash string")
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+
+    def moved():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = stages()
+        each = [found.apply(k) for k in range(found.size())]
+        return {s.stageId(): (s.shuffleWriteRecords(), s.outputRecords()) for s in each}
+
+    before = moved()
+    assert matching.novelty(df, df).where("novelty < 1").count() > 250
+    new = [x for k, x in moved().items() if k not in before]
+    assert sum(x for x, _ in new) <= 2 * len(rows) + 50 and sum(x for _, x in new) == 0
+
+
 @pytest.mark.parametrize("raw,want", [('{"a": 1}', {"a": 1}), ('x {"a": {"b": 2},} y', {"a": {"b": 2}}), ("```json\n{'a': 1}\n```", {"a": 1}), ('{"a": "}"}', {"a": "}"}), ("none", None), ("{", None), (None, None), ("", None)])
 def test_first_object(raw, want):
     import json

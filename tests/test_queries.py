@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -31,6 +32,19 @@ def test_query(name, spark, small, duck):
     assert canonical(got) == canonical(want)
 
 
+def test_novelty_of_records_that_differ_elsewhere(spark, small, tmp_path):
+    """A record that comes again with another polarity, time of extraction or spelling of its asset is one record."""
+    name, con = "M1_M2_novelty", duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    again = "replace (0.125 as polarity, extracted_at + interval 1 hour as extracted_at, ' $' || lower(asset) as asset)"
+    con.execute(f"create table event_records as select * from '{small}/event_records.parquet' union all select * {again} from '{small}/event_records.parquet' where record_id % 3 = 0")
+    con.execute(f"create table raw_news as select * from '{small}/raw_news.parquet'")
+    for t in ("event_records", "raw_news"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    build, statement = CORE[name]
+    assert canonical(build(spark, str(tmp_path)).toPandas()) == canonical(con.execute(statement).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.functions.text import ALIASES
-from tidewell.sources.scratch import materialise
 
 #: Characters of a word; everything else separates.
 TOKEN_BREAK = r"[^\p{L}\p{N}_]+"
@@ -34,22 +36,108 @@ def match_symbols(texts: DataFrame, universe: DataFrame, id_col: str, text: str,
     return best.select(id_col, F.col("b.symbol").alias("symbol"))
 
 
-#: Events whose best cosine over the candidates reaches this are settled by them; the others meet their whole window.
-SETTLED = 0.3
-
-
-def _in_window(asks: DataFrame, posts: DataFrame, keys: list[str], us: int) -> DataFrame:
-    """`asks` (id, keys, at, hash, ...) with n: rows of `posts` (keys, at, hash) of equal keys in the `us` before `at`, without
-    those of the ask's own hash. Sliding counts over time, no pair is formed; time is cut into buckets of the window's
-    length, so a busy key is spread over its buckets."""
-    bucket = F.floor(F.col("at") / F.lit(float(us))).cast("bigint")
-    rest = [c for c in asks.columns if c not in (*keys, "at", "hash")]
-    held = F.struct(*rest)
-    p = posts.where("hash is not null").select(*keys, "at", "hash", F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    a = asks.where("hash is not null").select(*keys, "at", "hash", bucket.alias("_b"), held.alias("_ask"))
-    both = p.withColumn("_ask", F.lit(None).cast(a.schema["_ask"].dataType)).unionByName(a)
-    count = lambda *by: F.count(F.when(F.col("_ask").isNull(), 1)).over(Window.partitionBy(*keys, "_b", *by).orderBy("at").rangeBetween(-us, -1))
-    return both.withColumn("n", count() - count("hash")).where("_ask is not null").select(*keys, "at", "hash", "_ask.*", "n")
+#: Events that are settled together, the products of events and words held at once, and the words from which a text is
+#: multiplied on its own.
+TOGETHER, AT_ONCE, LONG = 96, 4_000_000, 40
+
+
+def _best(ask: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, hashes: np.ndarray, ptr: np.ndarray, word: np.ndarray, tf: np.ndarray, n_words: int) -> np.ndarray:
+    """The greatest cosine of each event (its row `ask`) over the texts rows[lo:hi] without those of its own hash. Row r has
+    the words word[ptr[r]:ptr[r + 1]], tf times each. lo and hi rise, so a text is in the windows of consecutive events."""
+    n, d0 = len(ask), lo[0]
+    docs, lo, hi = rows[d0 : hi[-1]], lo - d0, hi - d0
+    size = ptr[docs + 1] - ptr[docs]
+    spread = lambda at, m: np.repeat(at - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+    own_size = ptr[ask + 1] - ptr[ask]
+    own, own_at, held = spread(ptr[ask], own_size), np.repeat(np.arange(n), own_size), spread(ptr[docs], size)
+    used = np.zeros(n_words, bool)
+    used[word[own]] = used[word[held]] = True
+    local, n_local = np.cumsum(used) - 1, int(used.sum())
+
+    j = np.arange(len(docs))[:, None]
+    there = (j >= lo) & (j < hi)
+    same = there & (hashes[docs][:, None] == hashes[ask])
+    there &= ~same
+    n_docs = there.sum(axis=0) + 1
+    # document frequencies: +1 from the first event that sees the text, -1 from the first that no longer does
+    begins, ends = np.searchsorted(hi, j[:, 0], "right"), np.searchsorted(lo, j[:, 0], "right")
+    at = local[word[held]] * (n + 1)
+    count = lambda x: np.bincount(x, minlength=n_local * (n + 1))
+    df = (count(at + np.repeat(begins, size)) - count(at + np.repeat(ends, size))).reshape(n_local, n + 1).cumsum(axis=1)[:, :n]
+    own_word = local[word[own]]
+    df[own_word, own_at] += 1
+    of, by = np.nonzero(same)
+    if len(of):
+        twice = spread(ptr[docs[of]], size[of])
+        df -= np.bincount(local[word[twice]] * n + np.repeat(by, size[of]), minlength=n_local * n).reshape(n_local, n)
+
+    logs = np.log(np.arange(1, n_docs.max() + 2))
+    both = np.zeros((n_local, 2, n))  # squares of idf, and those times the event's own counts
+    both[:, 0] = (logs[n_docs] - logs[df] + 1) ** 2
+    both[own_word, 1, own_at] = both[own_word, 0, own_at] * tf[own]
+    length2 = np.bincount(own_at, both[own_word, 1, own_at] * tf[own], n)
+
+    sums = np.zeros((len(docs), 2, n))  # squared lengths and products, one word of every text at a time
+    order = np.argsort(-size, kind="stable")
+    n_long = int((size > LONG).sum())
+    for d in order[:n_long]:
+        its = slice(ptr[docs[d]], ptr[docs[d] + 1])
+        w, t = local[word[its]], tf[its]
+        sums[d, 0], sums[d, 1] = (t * t) @ both[w, 0], t @ both[w, 1]
+    short = order[n_long:]
+    first, left = ptr[docs[short]], size[short]
+    part = np.zeros((len(short), 2, n))
+    for k in range(int(left.max(initial=0))):
+        m = int(np.searchsorted(-left, -k, "left"))
+        w, t = local[word[first[:m] + k]], tf[first[:m] + k]
+        add = both[w]
+        if (t > 1).any():
+            add *= np.stack([t * t, t], axis=1)[:, :, None]
+        part[:m] += add
+    sums[short] = part
+    inside = there & (sums[:, 0] > 0)
+    cos2 = np.divide(sums[:, 1] ** 2, sums[:, 0], out=np.zeros_like(sums[:, 0]), where=inside)
+    return np.sqrt(cos2.max(axis=0) / length2)
+
+
+def _settle(t: pa.Table, us: int) -> tuple[pa.RecordBatch, pa.Table]:
+    """(id, novelty) of the events in `t`, which has whole windows in the order of key and time; the rows of it that later
+    events may have in theirs."""
+    column = lambda c: t[c].combine_chunks()
+    codes = lambda c: column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flag = lambda c: column(c).to_numpy(zero_copy_only=False)
+    timed, at = column("at").is_valid().to_numpy(zero_copy_only=False), column("at").fill_null(np.iinfo(np.int64).min // 2).to_numpy()
+    asset, start, hashes = codes("asset"), column("start").to_numpy(), codes("hash")
+    key = np.concatenate(([0], np.cumsum((np.diff(asset) != 0) | (np.diff(start) != 0))))
+    lists = pc.split_pattern(column("text").fill_null(""), " ")
+    words = lists.flatten().dictionary_encode()
+    n_words = max(1, len(words.dictionary))
+    cells = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy())) * n_words + words.indices.to_numpy()
+    cells, tf = np.unique(cells[(pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False))[words.indices.to_numpy()]], return_counts=True)
+    word, ptr = cells % n_words, np.searchsorted(cells // n_words, np.arange(t.num_rows + 1))
+
+    known = timed & (hashes >= 0)
+    rows, ask = np.nonzero(known & flag("post"))[0], np.nonzero(known & flag("ask") & (np.diff(ptr) > 0))[0]
+    times = np.unique(at)
+    place = lambda k, x: k * (len(times) + 1) + np.searchsorted(times, x)
+    of_rows = place(key[rows], at[rows])
+    lo, hi = (np.searchsorted(of_rows, place(key[ask], x)) for x in (at[ask] - us, at[ask]))
+    ask, lo, hi = (x[lo < hi] for x in (ask, lo, hi))
+    novelty = np.ones(t.num_rows)
+    upto, own = (np.concatenate(([0], np.cumsum(ptr[x + 1] - ptr[x] + 1))) for x in (rows, ask))
+    i = 0
+    while i < len(ask):
+        n = min(TOGETHER, len(ask) - i)
+        while n > 1 and (upto[hi[i + n - 1]] - upto[lo[i]] + own[i + n] - own[i]) * n > AT_ONCE:
+            n //= 2
+        block = slice(i, i + n)
+        novelty[ask[block]] = np.clip(1 - _best(ask[block], lo[block], hi[block], rows, hashes, ptr, word, tf, n_words), 0, 1)
+        i += n
+    asked = np.nonzero(flag("ask"))[0]
+    out = pa.RecordBatch.from_arrays([column("id").take(pa.array(asked)), pa.array(novelty[asked])], ["id", "novelty"])
+    held = rows[(key[rows] == key[-1]) & (at[rows] >= at[-1] - us)]
+    kept = t.take(pa.array(held))
+    return out, kept.set_column(kept.schema.get_field_index("ask"), kept.schema.field("ask"), pa.array(np.zeros(len(held), bool)))
 
 
 def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
@@ -59,61 +147,38 @@ def novelty(events: DataFrame, pool: DataFrame, hours: int = 48) -> DataFrame:
     event without a window, without time or without words is fully new (1.0). Columns: id, asset, ts, text, hash; rows
     with the event's own hash are no window, those without a hash are in none.
 
-    Work: window sizes and document frequencies are sliding counts. Candidates come from an inverted index of the words
-    that make up all but SETTLED of an event's length: a text that shares only others has a smaller cosine. Their cosines
-    are bounded by the weights that are known (an unknown idf is between 1 and 1 + ln(1 + n)); only those that may be
-    the greatest are worked out. Events with no candidate of SETTLED or more are compared with their whole windows.
+    Work: rows are moved once, to the stretch of time (two windows long) and asset that they are in; those of the last
+    `hours` of a stretch to the next one also. There they are read in the order of time, with the rows of one window
+    held; every pair is compared in memory and none is written.
     """
     us = hours * 3_600_000_000
-    at = F.unix_micros("ts").alias("at")
-    timed = "ts is not null and asset is not null and id is not null"
-    split = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: t != "")
-    words = lambda df: df.where("id is not null").select("id", F.explode(split).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
-    asks, posts = events.where(timed).select("id", "asset", at, "hash"), pool.where(timed).select("id", "asset", at, "hash")
-    said = materialise(words(pool), "novelty-words")
-    indexed = materialise(posts.join(said, "id"), "novelty-index")  # id, asset, at, hash, w, tf
-    size = _in_window(asks, posts, ["asset"], us).where("n > 0").select("id", "asset", "at", "hash", (F.col("n") + 1).alias("n_docs"))
-    own = size.join(words(events).withColumnRenamed("tf", "otf"), "id")
-    idf = lambda n, df: F.log((1 + n) / (1 + df)) + 1
-    known = _in_window(own, indexed, ["asset", "w"], us).withColumn("idf", idf(F.col("n_docs"), F.col("n") + 1)).withColumn("weight", F.pow(F.col("otf") * F.col("idf"), F.lit(2.0)))
-    by_weight = Window.partitionBy("id").orderBy("weight", "w")
-    known = known.withColumns({"na2": F.sum("weight").over(Window.partitionBy("id")), "upto": F.sum("weight").over(by_weight)})
-    known = materialise(known.select("id", "asset", "at", "hash", "n_docs", "w", "otf", "idf", "na2", (F.col("upto") > F.col("na2") * SETTLED**2).alias("leads")), "novelty-own")
-
-    bucket = F.floor(F.col("at") / F.lit(float(us))).cast("bigint")
-    window = lambda df: df.select("*", F.explode(F.array(bucket - 1, bucket)).alias("_b"))
-    before = lambda df: df.withColumn("_b", bucket).withColumnsRenamed({"id": "wid", "at": "wat", "hash": "whash"})
-    inside = (F.col("at") > F.col("wat")) & (F.col("at") - F.col("wat") <= us) & (F.col("hash") != F.col("whash"))
-
-    about = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("na2", "n_docs", "asset", "at", "hash")])
-
-    def open_pairs(pairs: DataFrame) -> DataFrame:
-        """The candidate pairs (id, wid) that may have the greatest cosine of their event, with what is known of it; `top`
-        is a lower bound of that cosine."""
-        terms = pairs.join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w", "otf", "idf"), ["id", "w"], "left")
-        both = F.col("tf") * F.col("idf")
-        sums = terms.groupBy("id", "wid").agg(F.sum(both * F.col("otf") * F.col("idf")).alias("dot"), F.sum(both * both).alias("in2"), F.sum(F.when(F.col("idf").isNull(), F.col("tf") * F.col("tf"))).alias("out2"))
-        sums = sums.where("dot > 0").join(about, "id")
-        out2 = F.coalesce("out2", F.lit(0))
-        most = F.pow(F.log(1 + F.col("n_docs")) + 1, F.lit(2.0))
-        cosine = lambda rest: F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + rest))
-        bounded = sums.withColumns({"hi": cosine(out2), "lo": cosine(out2 * most)}).withColumn("top", F.max("lo").over(Window.partitionBy("id")))
-        return bounded.where("hi >= top * (1 - 1e-9)").select("id", "wid", "asset", "at", "hash", "n_docs", "dot", "na2", "in2", "top")
-
-    led = window(known.where("leads").select("id", "asset", "at", "hash", "w"))
-    first = led.join(before(indexed.drop("tf")), ["asset", "w", "_b"]).where(inside).select("id", "wid").distinct()
-    tried = materialise(open_pairs(first).where(F.col("top") >= SETTLED), "novelty-settled")
-    left = size.join(tried.select("id").distinct(), "id", "left_anti").select("id", "asset", "at", "hash")
-    second = window(left).join(before(posts), ["asset", "_b"]).where(inside).select("id", "wid").distinct()
-    pairs = materialise(tried.unionByName(open_pairs(second)), "novelty-open")
-    others = materialise(pairs.select("id", "wid").join(said.withColumnRenamed("id", "wid"), "wid").join(known.select("id", "w"), ["id", "w"], "left_anti"), "novelty-others")
-    asked = others.select("id", "w").distinct().join(size, "id")
-    rare = _in_window(asked, indexed, ["asset", "w"], us).select("id", "w", idf(F.col("n_docs"), F.col("n")).alias("idf"))
-    rest = others.join(rare, ["id", "w"]).groupBy("id", "wid").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))).alias("rest"))
-    sim = F.col("dot") / F.sqrt(F.col("na2") * (F.col("in2") + F.coalesce("rest", F.lit(0.0))))
-    found = pairs.join(rest, ["id", "wid"], "left").groupBy("id").agg(F.max(sim).alias("sim"))
-    out = F.when(F.col("sim").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sim"))))
-    return events.select("id").join(found, "id", "left").select("id", out.alias("novelty"))
+
+    def rows(df: DataFrame, ask: bool, post: bool) -> DataFrame:
+        at = F.when(F.col("asset").isNotNull() & F.col("id").isNotNull(), F.unix_micros("ts"))
+        plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " "))
+        return df.select("id", "asset", at.alias("at"), F.unhex(F.md5(F.col("hash").cast("string"))).alias("hash"), plain.alias("text"), F.lit(ask).alias("ask"), F.lit(post).alias("post"))
+
+    both = rows(events, True, True) if pool is events else rows(events, True, False).unionByName(rows(pool, False, True))
+    past = F.pmod("at", F.lit(2 * us))
+    first = F.coalesce(F.col("at") - past, F.pmod(F.xxhash64("id"), F.lit(1024)))
+    starts = F.when(F.col("post") & (past >= us), F.array(first, first + 2 * us)).otherwise(F.array(first))
+    placed = both.where("ask or (at is not null and hash is not null)").select("*", first.alias("first"), F.explode(starts).alias("start"))
+    placed = placed.withColumn("ask", F.col("ask") & (F.col("start") == F.col("first"))).drop("first")
+
+    def run(batches):
+        held, wait, n = None, [], 0
+        for batch in batches:
+            wait.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n and n >= 4 * (held.num_rows if held else 0):
+                out, held = _settle(pa.concat_tables([held, *wait] if held else wait), us)
+                wait, n = [], 0
+                yield out
+        if n:
+            yield _settle(pa.concat_tables([held, *wait] if held else wait), us)[0]
+
+    kind = events.schema["id"].dataType.simpleString()
+    return placed.repartition("asset", "start").sortWithinPartitions("asset", "start", "at").mapInArrow(run, f"id {kind}, novelty double")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str, order: list[Column] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as X
 from tidewell.functions.jsonfix import parsed_extraction
 from tidewell.operators import matching
+from tidewell.operators.rolling import clean_symbol
 from tidewell.plans.fixtures import r6, registry
 
 QUERIES, SQL, query = registry()
@@ -260,7 +261,8 @@ def X14_pivot_report(v):
 def M1_M2_novelty(v):
     """Novelty of every record against the records of its model and asset in the two days before."""
     heads = v.news.groupBy("item_id").agg(F.max("title").alias("title"))
-    rows = v.er.join(heads, "item_id", "left").select(
+    records = v.table("event_records").select("record_id", "item_id", "content_hash", "model_version", "published_at", clean_symbol(F.col("asset")).alias("asset"), "event_type").distinct()
+    rows = records.join(heads, "item_id", "left").select(
         F.col("record_id").alias("id"), F.concat_ws("|", "model_version", "asset").alias("asset"), F.col("published_at").alias("ts"), F.concat_ws(" ", F.coalesce("title", F.lit("")), "event_type").alias("text"), F.col("content_hash").alias("hash")
     )
     return matching.novelty(rows, rows).select(F.col("id").alias("record_id"), r6("novelty"))
